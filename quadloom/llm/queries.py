@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import minhash, quality, substring
 from .common import table
 
 
@@ -46,5 +46,18 @@ OP3_SQL = OP3_SQL.replace("INSULTS", ", ".join(f"'{w}'" for w in quality.INSULTS
     r"regexp_replace(text, '[A-Z]+', '', 'g') || ' ' || lower(text)", r"translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+}
 ORACLES = {"op3_quality_rules": OP3_SQL}
