@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, substring
+from . import chat, minhash, quality, sharding, substring
 from .common import table
 
 
@@ -55,9 +55,39 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.digests(rows.unionByName(extra))
+
+
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b') AS esc,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(esc) + CASE WHEN before = role THEN 3 ELSE length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), ']', '\r')) + 9 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op5_sharding": op5_sharding,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-ORACLES = {"op3_quality_rules": OP3_SQL}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
