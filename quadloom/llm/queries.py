@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, quality, sharding, substring
+from . import chat, minhash, packing, quality, sharding, substring
 from .common import table
 
 
@@ -83,11 +83,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op5_sharding": op5_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
