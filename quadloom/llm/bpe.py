@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_buffers
 
@@ -256,7 +257,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     places.append((np.cumsum(sizes) - sizes).tolist() if b > a else [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int64()))], ["row", "ids", "starts"])
 
-    schema = packed.select("row").schema.add("ids", "array<int>").add("starts", "array<bigint>")
+    schema = packed.select("row").schema.add("ids", T.ArrayType(T.IntegerType())).add("starts", T.ArrayType(T.LongType()))
     return packed.mapInArrow(run, schema)
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, text_buffers
 
@@ -270,7 +271,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     rank = (F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1).cast("long")
     ranked = salted.withColumn("_rank", rank)
-    return ranked.mapInArrow(place, found.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(place, T.StructType(list(found.schema.fields)).add("sequence_id", "long").add("offset", "long"))
 
 
 def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, packing, quality, sharding, substring
+from . import bpe, chat, embedding, minhash, packing, quality, sharding, substring
 from .common import table
 
 
@@ -90,6 +90,26 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.digests(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT a AS node, a AS hop FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.hop = p.a),
+c AS (SELECT node, min(hop) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -103,8 +123,13 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
+ORACLES = {
+    "op2_chat_formatting": OP2_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
+}
