@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, minhash, packing, quality, sharding, substring
+from . import bpe, chat, embedding, minhash, packing, pitman_yor, quality, sharding, substring
 from .common import table
 
 
@@ -118,6 +118,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -127,6 +131,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_pitman_yor_scoring": op10_pitman_yor_scoring,
 }
 ORACLES = {
     "op2_chat_formatting": OP2_SQL,
