@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, minhash, packing, pitman_yor, quality, sharding, substring
+from . import bpe, chat, embedding, minhash, packing, pitman_yor, quality, sharding, substring, warc
 from .common import table
 
 
@@ -79,6 +79,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op5_sharding": op5_sharding,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
