@@ -1,4 +1,154 @@
 """The queries over the test tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .tables import BASE, PREFIX, dataset
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def sparql(name: str, text: str, sql: str | None = None, **more) -> None:
+    """Registers a SPARQL query over the mapped tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dataset(spark, sf_dir, **more).query(PREFIX + text).df
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql.replace("$B", BASE)
+
+
+sparql(
+    "tpch_q1",
+    """SELECT ?flag ?status (SUM(?q) AS ?sum_qty) (SUM(?p) AS ?sum_base) (SUM(?p * (1 - ?d)) AS ?sum_disc) (SUM(?p * (1 - ?d) * (1 + ?t)) AS ?sum_charge)
+      (AVG(?q) AS ?avg_qty) (AVG(?p) AS ?avg_price) (AVG(?d) AS ?avg_disc) (COUNT(*) AS ?n)
+    WHERE { ?l a :Lineitem ; :l_returnflag ?flag ; :l_linestatus ?status ; :l_quantity ?q ; :l_extendedprice ?p ; :l_discount ?d ; :l_tax ?t ; :l_shipdate ?s
+      FILTER(?s <= "1998-09-02T00:00:00"^^xsd:dateTime) } GROUP BY ?flag ?status ORDER BY ?flag ?status""",
+    """SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc,
+      sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_extendedprice) AS avg_price, avg(l_discount) AS avg_disc, count(*)::BIGINT AS n
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
+)
+sparql("bgp_star", "SELECT ?q ?d ?f WHERE { ?l a :Lineitem ; :l_quantity ?q ; :l_shipdate ?d ; :l_returnflag ?f }", "SELECT l_quantity AS q, l_shipdate AS d, l_returnflag AS f FROM lineitem")
+sparql(
+    "bgp_join_fk",
+    "SELECT ?nation (SUM(?p) AS ?total) (COUNT(*) AS ?n) WHERE { ?l :l_order ?o ; :l_extendedprice ?p . ?o :o_customer ?c . ?c :c_nation/:n_name ?nation } GROUP BY ?nation",
+    "SELECT n_name AS nation, sum(l_extendedprice) AS total, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+)
+sparql("bgp_const_object", 'SELECT ?n WHERE { ?c :c_mktsegment "BUILDING" ; :c_name ?n }', "SELECT c_name AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+sparql("bgp_const_subject", "SELECT ?n ?s WHERE { <$B/part/7> :p_name ?n ; :p_size ?s }".replace("$B/", BASE), "SELECT p_name AS n, p_size::BIGINT AS s FROM part WHERE p_partkey = 7")
+sparql("bgp_repeated_var", "SELECT ?x WHERE { ?o :o_orderkey ?x . ?c :c_custkey ?x }", "SELECT o_orderkey AS x FROM orders JOIN customer ON c_custkey = o_orderkey")
+sparql("bgp_var_predicate", "SELECT ?p (COUNT(*) AS ?n) WHERE { ?x a :Nation ; ?p ?v } GROUP BY ?p",
+    "SELECT p, count(*)::BIGINT AS n FROM nation, (VALUES ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type'), ('$Bn_nationkey'), ('$Bn_name'), ('$Bn_region')) AS t(p) GROUP BY 1")
+sparql("filter_range", "SELECT ?q ?p WHERE { ?l :l_quantity ?q ; :l_extendedprice ?p FILTER(?q >= 10 && ?q < 12) }", "SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 12")
+sparql("filter_in", 'SELECT ?n ?s WHERE { ?c :c_name ?n ; :c_mktsegment ?s FILTER(?s IN ("BUILDING", "MACHINERY")) }', "SELECT c_name AS n, c_mktsegment AS s FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+sparql("filter_not_in", 'SELECT ?n ?s WHERE { ?c :c_name ?n ; :c_mktsegment ?s FILTER(?s NOT IN ("BUILDING", "MACHINERY")) }', "SELECT c_name AS n, c_mktsegment AS s FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+sparql("filter_logic", 'SELECT ?n WHERE { ?p :p_name ?n ; :p_size ?s ; :p_brand ?b FILTER(!(?s > 10) || (?s = 50 && ?b != "Brand#11")) }', "SELECT p_name AS n FROM part WHERE p_size <= 10 OR (p_size = 50 AND p_brand <> 'Brand#11')")
+sparql("bind_arith", "SELECT ?k ?net WHERE { ?l :l_linenumber ?k ; :l_extendedprice ?p ; :l_discount ?d BIND(?p * (1 - ?d) AS ?net) }", "SELECT l_linenumber::BIGINT AS k, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+sparql("optional", "SELECT ?c ?k WHERE { ?x :c_custkey ?c OPTIONAL { ?o :o_customer ?x ; :o_orderkey ?k } }", "SELECT c_custkey AS c, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
+sparql("optional_filter", "SELECT ?c ?k WHERE { ?x :c_custkey ?c ; :c_acctbal ?b OPTIONAL { ?o :o_customer ?x ; :o_orderkey ?k ; :o_totalprice ?t FILTER(?t > 30 * ?b) } }",
+    "SELECT c_custkey AS c, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 30 * c_acctbal")
+sparql("optional_chain_unbound", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_mktsegment ?g FILTER(?c < 40)
+      OPTIONAL { ?x :c_acctbal ?b . BIND("pre" AS ?t) FILTER(?b < 0) } OPTIONAL { VALUES (?g ?t) { ("BUILDING" "pre") ("BUILDING" "post") ("MACHINERY" "post") } } }""",
+    """WITH a AS (SELECT c_custkey AS c, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN 'pre' END AS t FROM customer WHERE c_custkey < 40),
+      v(g, t) AS (VALUES ('BUILDING', 'pre'), ('BUILDING', 'post'), ('MACHINERY', 'post'))
+    SELECT a.c, coalesce(a.t, v.t) AS t FROM a LEFT JOIN v ON a.g = v.g AND (a.t = v.t OR a.t IS NULL)""")
+sparql("union", "SELECT ?n WHERE { { ?x :c_name ?n } UNION { ?x :s_name ?n } }", "SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier")
+sparql("union_hetero", "SELECT ?n ?b ?s WHERE { { ?x :c_name ?n ; :c_acctbal ?b } UNION { ?x :p_name ?n ; :p_size ?s } }", "SELECT c_name AS n, c_acctbal AS b, NULL::BIGINT AS s FROM customer UNION ALL SELECT p_name, NULL, p_size::BIGINT FROM part")
+sparql("minus", "SELECT ?c WHERE { ?x :c_custkey ?c MINUS { ?o :o_customer ?x ; :o_orderstatus \"F\" } }", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+sparql("minus_disjoint", "SELECT ?c WHERE { ?x :c_custkey ?c MINUS { ?y :r_name ?z } }", "SELECT c_custkey AS c FROM customer")
+sparql("exists", "SELECT ?c WHERE { ?x :c_custkey ?c FILTER EXISTS { ?o :o_customer ?x ; :o_totalprice ?t FILTER(?t > 300000) } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+sparql("not_exists", "SELECT ?c WHERE { ?x :c_custkey ?c FILTER NOT EXISTS { ?o :o_customer ?x } }", "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sparql("exists_correlated_filter", "SELECT ?c WHERE { ?x :c_custkey ?c ; :c_acctbal ?b FILTER EXISTS { ?o :o_customer ?x ; :o_totalprice ?t FILTER(?t < ?b * 10) } }", "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < c_acctbal * 10)")
+sparql("exists_in_or", 'SELECT ?c WHERE { ?x :c_custkey ?c ; :c_mktsegment ?s FILTER(?s = "BUILDING" || EXISTS { ?o :o_customer ?x ; :o_orderstatus "P" }) }', "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING' OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+sparql("values", 'SELECT ?n ?w WHERE { VALUES (?s ?w) { ("BUILDING" 1) ("MACHINERY" 2) } ?c :c_mktsegment ?s ; :c_name ?n }', "SELECT c_name AS n, w::BIGINT AS w FROM customer JOIN (VALUES ('BUILDING', 1), ('MACHINERY', 2)) AS v(s, w) ON c_mktsegment = s")
+sparql("values_undef", 'SELECT ?n ?z WHERE { ?c :p_brand ?s ; :p_name ?n ; :p_size ?z } VALUES (?s ?z) { ("Brand#11" UNDEF) (UNDEF 7) }', "SELECT p_name AS n, p_size::BIGINT AS z FROM part WHERE p_brand = 'Brand#11' UNION ALL SELECT p_name, p_size::BIGINT FROM part WHERE p_size = 7")
+sparql("subselect", "SELECT ?c ?n ?b WHERE { { SELECT ?x (COUNT(*) AS ?n) WHERE { ?o :o_customer ?x } GROUP BY ?x } ?x :c_custkey ?c ; :c_acctbal ?b FILTER(?n > 12) }",
+    "SELECT c_custkey AS c, n, c_acctbal AS b FROM customer JOIN (SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n > 12")
+sparql("graph_named", "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?d :n_chars ?k FILTER(?k > 1000) } } GROUP BY ?g", "SELECT '$Bsource/' || source AS g, count(*)::BIGINT AS n FROM documents WHERE n_chars > 1000 GROUP BY 1")
+sparql("graph_const", "SELECT ?k WHERE { GRAPH <$B> { ?d :n_chars ?k } }".replace("$B", BASE + "source/src1"), "SELECT n_chars AS k FROM documents WHERE source = 'src1'")
+sparql("from_merge", "SELECT ?l (COUNT(*) AS ?n) FROM <$Bsrc1> FROM <$Bsrc2> WHERE { ?d :lang ?l } GROUP BY ?l".replace("$B", BASE + "source/"), "SELECT lang AS l, count(*)::BIGINT AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1")
+sparql("from_named", "SELECT ?g (COUNT(*) AS ?n) FROM NAMED <$Bsrc1> FROM NAMED <$Bsrc2> WHERE { GRAPH ?g { ?d :lang ?l } } GROUP BY ?g".replace("$B", BASE + "source/"), "SELECT '$Bsource/' || source AS g, count(*)::BIGINT AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY 1")
+sparql("lateral_topk", "SELECT ?c ?k ?t WHERE { ?x :c_custkey ?c LATERAL { SELECT ?x ?k ?t WHERE { ?o :o_customer ?x ; :o_orderkey ?k ; :o_totalprice ?t } ORDER BY DESC(?t) ?k LIMIT 2 } }",
+    "SELECT c, k, t FROM (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) JOIN customer ON c = c_custkey WHERE rn <= 2")
+sparql("lateral_aggregate", "SELECT ?c ?n WHERE { ?x :c_custkey ?c LATERAL { SELECT ?x (COUNT(?o) AS ?n) WHERE { ?o :o_customer ?x } GROUP BY ?x } }", "SELECT c_custkey AS c, count(*)::BIGINT AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+sparql("distinct", "SELECT DISTINCT ?s ?p WHERE { ?o :o_orderstatus ?s ; :o_orderpriority ?p }", "SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders")
+sparql("reduced", "SELECT (COUNT(*) AS ?n) WHERE { { SELECT REDUCED ?s ?k WHERE { ?o :o_orderkey ?k ; :o_orderstatus ?s } } }", "SELECT count(*)::BIGINT AS n FROM orders")
+sparql("orderby_limit", "SELECT ?k ?t WHERE { ?o :o_orderkey ?k ; :o_totalprice ?t } ORDER BY DESC(?t) ?k LIMIT 20", "SELECT o_orderkey AS k, o_totalprice AS t FROM orders ORDER BY t DESC, k LIMIT 20")
+sparql("slice", "SELECT ?k WHERE { ?o :o_orderkey ?k } ORDER BY ?k LIMIT 10 OFFSET 25", "SELECT o_orderkey AS k FROM orders ORDER BY k LIMIT 10 OFFSET 25")
+sparql("ask", 'ASK { ?c :c_mktsegment "BUILDING" ; :c_acctbal ?b FILTER(?b > 9000) }', "SELECT count(*) > 0 AS answer FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")
+sparql("ask_false", 'ASK { ?c :c_mktsegment "NOTHING" }', "SELECT false AS answer")
+_NT = "SELECT 'I$Bnation/' || n_nationkey AS s, 'I$Bin' AS p, 'Lx:string' || chr(31) || chr(31) || r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey"
+sparql("construct", "CONSTRUCT { ?n :in ?r } WHERE { ?n :n_region/:r_name ?r }", _NT)
+sparql("construct_where", "CONSTRUCT WHERE { ?n :n_region ?r }", "SELECT 'I$Bnation/' || n_nationkey AS s, 'I$Bn_region' AS p, 'I$Bregion/' || n_regionkey AS o FROM nation")
+sparql("construct_set", "CONSTRUCT { ?c :segment ?s . ?s :bad ?c } WHERE { ?x :c_nation ?c ; :c_mktsegment ?s }", "SELECT DISTINCT 'I$Bnation/' || c_nationkey AS s, 'I$Bsegment' AS p, 'Lx:string' || chr(31) || chr(31) || c_mktsegment AS o FROM customer")
+sparql("describe", f"DESCRIBE <{BASE}region/1>", """SELECT 'I$Bregion/1' AS s, 'I$Br_name' AS p, 'Lx:string' || chr(31) || chr(31) || r_name AS o FROM region WHERE r_regionkey = 1
+    UNION ALL SELECT 'I$Bregion/1', 'I$Br_regionkey', 'Lx:integer' || chr(31) || chr(31) || '1' UNION ALL SELECT 'I$Bregion/1', 'Ihttp://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'I$BRegion'
+    UNION ALL SELECT 'I$Bnation/' || n_nationkey, 'I$Bn_region', 'I$Bregion/1' FROM nation WHERE n_regionkey = 1""")
+# aggregates
+sparql("group_count", "SELECT ?s (COUNT(*) AS ?n) WHERE { ?o :o_orderstatus ?s } GROUP BY ?s", "SELECT o_orderstatus AS s, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+sparql("count_distinct", "SELECT ?s (COUNT(DISTINCT ?c) AS ?n) WHERE { ?o :o_orderstatus ?s ; :o_customer ?c } GROUP BY ?s", "SELECT o_orderstatus AS s, count(DISTINCT o_custkey)::BIGINT AS n FROM orders GROUP BY 1")
+sparql("sum_avg", "SELECT ?b (SUM(?z) AS ?sum_size) (xsd:double(AVG(?z)) AS ?avg_size) (AVG(?p) AS ?avg_price) WHERE { ?x :p_brand ?b ; :p_size ?z ; :p_retailprice ?p } GROUP BY ?b", "SELECT p_brand AS b, sum(p_size)::BIGINT AS sum_size, avg(p_size) AS avg_size, avg(p_retailprice) AS avg_price FROM part GROUP BY 1")
+sparql("sum_distinct", "SELECT ?b (SUM(DISTINCT ?z) AS ?s) WHERE { ?x :p_brand ?b ; :p_size ?z } GROUP BY ?b", "SELECT p_brand AS b, sum(DISTINCT p_size)::BIGINT AS s FROM part GROUP BY 1")
+sparql("min_max", "SELECT ?g (MIN(?b) AS ?lo) (MAX(?b) AS ?hi) (MAX(?n) AS ?last) WHERE { ?c :c_mktsegment ?g ; :c_acctbal ?b ; :c_name ?n } GROUP BY ?g", "SELECT c_mktsegment AS g, min(c_acctbal) AS lo, max(c_acctbal) AS hi, max(c_name) AS last FROM customer GROUP BY 1")
+sparql("having", "SELECT ?c (COUNT(*) AS ?n) WHERE { ?o :o_customer ?x . ?x :c_custkey ?c } GROUP BY ?c HAVING(COUNT(*) > 12)", "SELECT o_custkey AS c, count(*)::BIGINT AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
+sparql("group_expr", "SELECT ?y (COUNT(*) AS ?n) WHERE { ?o :o_orderdate ?d } GROUP BY (YEAR(?d) AS ?y)", "SELECT year(o_orderdate)::BIGINT AS y, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+sparql("implicit_group", "SELECT (COUNT(*) AS ?n) (MAX(?t) AS ?m) WHERE { ?o :o_totalprice ?t }", "SELECT count(*)::BIGINT AS n, max(o_totalprice) AS m FROM orders")
+sparql("group_empty", "SELECT (COUNT(*) AS ?n) (SUM(?z) AS ?s) WHERE { ?x :p_size ?z FILTER(?z > 1000) }", "SELECT 0::BIGINT AS n, 0::BIGINT AS s")
+sparql("group_concat", 'SELECT ?r (GROUP_CONCAT(?n; SEPARATOR=", ") AS ?names) WHERE { SELECT ?r ?n WHERE { ?x :n_region/:r_name ?r ; :n_name ?n } ORDER BY DESC(?n) } GROUP BY ?r',
+    "SELECT r_name AS r, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+sparql("sample", "SELECT ?r (SAMPLE(?n) AS ?any) WHERE { ?x :n_region ?y . ?y :r_name ?r, ?n } GROUP BY ?r", "SELECT r_name AS r, r_name AS \"any\" FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+sparql("median", "SELECT ?f (AGG(agg:MEDIAN, ?q) AS ?m) WHERE { ?l :l_returnflag ?f ; :l_quantity ?q } GROUP BY ?f", "SELECT l_returnflag AS f, median(l_quantity) AS m FROM lineitem GROUP BY 1")
+sparql("percentile", "SELECT ?f (AGG(agg:PERCENTILE, ?q; P=0.9) AS ?m) WHERE { ?l :l_returnflag ?f ; :l_extendedprice ?q } GROUP BY ?f", "SELECT l_returnflag AS f, quantile_cont(l_extendedprice, 0.9) AS m FROM lineitem GROUP BY 1")
+sparql("stddev", "SELECT ?f (AGG(agg:STDDEV, ?q) AS ?s) (AGG(agg:STDDEV_POP, ?q) AS ?p) WHERE { ?l :l_returnflag ?f ; :l_quantity ?q } GROUP BY ?f", "SELECT l_returnflag AS f, stddev_samp(l_quantity) AS s, stddev_pop(l_quantity) AS p FROM lineitem GROUP BY 1")
+sparql("variance", "SELECT ?f (AGG(agg:VARIANCE, ?q) AS ?s) (AGG(agg:VAR_POP, ?q) AS ?p) WHERE { ?l :l_returnflag ?f ; :l_quantity ?q } GROUP BY ?f", "SELECT l_returnflag AS f, var_samp(l_quantity) AS s, var_pop(l_quantity) AS p FROM lineitem GROUP BY 1")
+sparql("mode", 'SELECT ?g (AGG(agg:MODE, ?m) AS ?mode) WHERE { ?c :c_mktsegment ?g BIND(IF(STRENDS(?g, "G"), "yes", "no") AS ?m) } GROUP BY ?g', "SELECT c_mktsegment AS g, CASE WHEN c_mktsegment LIKE '%G' THEN 'yes' ELSE 'no' END AS mode FROM customer GROUP BY 1")
+sparql("topk", "SELECT ?r (AGG(agg:TOPK, ?k; K=3) AS ?top) WHERE { ?x :n_region/:r_name ?r ; :n_nationkey ?k } GROUP BY ?r",
+    "SELECT r_name AS r, string_agg(n_nationkey::VARCHAR, ' ' ORDER BY n_nationkey DESC) AS top FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS rn FROM nation) JOIN region ON n_regionkey = r_regionkey WHERE rn <= 3 GROUP BY 1")
+sparql("first_last", "SELECT ?g (AGG(agg:FIRST, ?n) AS ?first) (AGG(agg:LAST, ?n) AS ?last) WHERE { SELECT ?g ?n WHERE { ?c :c_mktsegment ?g ; :c_name ?n ; :c_custkey ?k } ORDER BY DESC(?k) } GROUP BY ?g", "SELECT c_mktsegment AS g, arg_max(c_name, c_custkey) AS first, arg_min(c_name, c_custkey) AS last FROM customer GROUP BY 1")
+# functions
+_N = "SELECT ?k {0} WHERE {{ ?x :p_partkey ?k ; :p_name ?n ; :p_type ?t ; :p_brand ?b ; :p_retailprice ?p ; :p_size ?z }}"
+
+
+def scalar(name: str, expr: str, sql: str) -> None:
+    sparql(name, _N.format(f"({expr} AS ?v)"), f"SELECT p_partkey AS k, {sql} AS v FROM part")
+
+
+for _name, _e, _s in (
+    ("str_strlen", "STRLEN(?n)", "length(p_name)::BIGINT"), ("str_substr", "SUBSTR(?n, 3, 4)", "substr(p_name, 3, 4)"), ("str_ucase", "UCASE(?n)", "upper(p_name)"), ("str_lcase", "LCASE(?b)", "lower(p_brand)"),
+    ("str_contains", 'CONTAINS(?t, "STEEL")', "contains(p_type, 'STEEL')"), ("str_starts", 'STRSTARTS(?t, "PROMO")', "starts_with(p_type, 'PROMO')"), ("str_ends", 'STRENDS(?t, "TIN")', "suffix(p_type, 'TIN')"),
+    ("str_before", 'STRBEFORE(?t, " ")', "CASE WHEN strpos(p_type, ' ') > 0 THEN substr(p_type, 1, strpos(p_type, ' ') - 1) ELSE '' END"), ("str_after", 'STRAFTER(?b, "#")', "CASE WHEN strpos(p_brand, '#') > 0 THEN substr(p_brand, strpos(p_brand, '#') + 1) ELSE '' END"),
+    ("str_replace", 'REPLACE(?n, "[aeiou]", "*")', "regexp_replace(p_name, '[aeiou]', '*', 'g')"), ("str_regex", 'REGEX(?t, "^p.*tin$", "i")', "regexp_matches(p_type, '(?i)^p.*tin$')"), ("str_encode", "ENCODE_FOR_URI(?b)", "replace(p_brand, '#', '%23')"),
+    ("str_concat", 'CONCAT(?b, "/", ?n)', "p_brand || '/' || p_name"), ("num_abs", "ABS(25 - ?z)", "abs(25 - p_size)::BIGINT"), ("num_ceil", "CEIL(?p)", "ceil(p_retailprice)"), ("num_floor", "FLOOR(?p)", "floor(p_retailprice)"),
+    ("num_round", "ROUND(?p)", "floor(p_retailprice + 0.5)"), ("num_arith", "(?z * 2 + 1) * ?p / 4", "(p_size * 2 + 1) * p_retailprice / 4"), ("num_neg", "-?z", "-p_size::BIGINT"), ("num_int_div", "xsd:double(?z / 8)", "p_size / 8.0::DOUBLE"),
+    ("hash_md5", "MD5(?n)", "md5(p_name)"), ("hash_sha1", "SHA1(?n)", "sha1(p_name)"), ("hash_sha256", "SHA256(?n)", "sha256(p_name)"), ("cond_if", 'IF(?z > 25, "big", "small")', "CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END"),
+    ("cond_coalesce", "COALESCE(?nothing, xsd:integer(?n), ?z)", "p_size::BIGINT"), ("cast_int", "xsd:integer(?p)", "trunc(p_retailprice)::BIGINT"), ("cast_string", "xsd:string(?z)", "p_size::VARCHAR"), ("cast_double", "xsd:double(?z)", "p_size::DOUBLE"),
+    ("cast_boolean", "xsd:boolean(?z - 7)", "p_size <> 7"), ("term_isnumeric", "isNumeric(?n)", "false"), ("term_isiri", "isIRI(?x)", "true"), ("term_datatype", "DATATYPE(?z)", "'http://www.w3.org/2001/XMLSchema#integer'"), ("term_str", "STR(?x)", "'$Bpart/' || p_partkey"),
+    ("term_iri", 'IRI(CONCAT("http://x.test/", STR(?z)))', "'http://x.test/' || p_size"), ("term_sameterm", "sameTerm(?z, 7)", "p_size = 7"), ("term_bound", "BOUND(?nothing)", "false"), ("term_strdt", "xsd:integer(STRDT(STR(?z), xsd:integer))", "p_size::BIGINT"),
+    ("term_strlang", 'LANG(STRLANG(?n, "en"))', "'en'"), ("lang_matches", 'LANGMATCHES("en-GB", "en")', "true"), ("hash_sha384", "STRLEN(SHA384(?n))", "96::BIGINT"), ("hash_sha512", "STRLEN(SHA512(?n))", "128::BIGINT"), ("term_triple", "isTRIPLE(TRIPLE(?x, :p, ?z))", "true"),
+    ("term_subject", "SUBJECT(TRIPLE(?x, :p, ?z)) = ?x", "true"), ("uuid_shape", 'REGEX(STR(UUID()), "^urn:uuid:[0-9a-f-]{36}$")', "true"), ("rand_range", "RAND() < 1", "true"), ("bnode_fresh", "isBLANK(BNODE())", "true"), ("now_same", "NOW() = NOW()", "true"),
+):
+    scalar(_name, _e, _s)
+for _name, _f, _s in (("year", "YEAR", "year"), ("month", "MONTH", "month"), ("day", "DAY", "day"), ("hours", "HOURS", "hour"), ("minutes", "MINUTES", "minute")):
+    sparql(f"date_{_name}", f"SELECT ?k ({_f}(?d) AS ?v) WHERE {{ ?e :event_id ?k ; :ts ?d }}", f"SELECT event_id AS k, {_s}(ts)::BIGINT AS v FROM events")
+sparql("date_seconds", "SELECT ?k (xsd:double(SECONDS(?d)) AS ?v) WHERE { ?e :event_id ?k ; :ts ?d }", "SELECT event_id AS k, (second(ts) + (microsecond(ts) % 1000000) / 1e6)::DOUBLE AS v FROM events")
+sparql("date_compare", 'SELECT ?k WHERE { ?o :o_orderkey ?k ; :o_orderdate ?d FILTER(?d >= "1995-01-01T00:00:00"^^xsd:dateTime && ?d < "1996-01-01T00:00:00"^^xsd:dateTime) }', "SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
+sparql("date_tz", "SELECT (COUNT(*) AS ?n) WHERE { ?o :o_orderdate ?d FILTER(TZ(?d) = \"\") }", "SELECT count(*)::BIGINT AS n FROM orders")
+sparql("lang_tag", "SELECT ?l (COUNT(*) AS ?n) WHERE { ?d :text ?t BIND(LANG(?t) AS ?l) } GROUP BY ?l", "SELECT lang AS l, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+sparql("lang_filter", 'SELECT ?k (STRLEN(?t) AS ?n) WHERE { ?d :doc_id ?k ; :text ?t FILTER(LANGMATCHES(LANG(?t), "fr")) }', "SELECT doc_id AS k, length(text)::BIGINT AS n FROM documents WHERE lang = 'fr'")
+# paths
+sparql("path_seq", "SELECT ?n ?r WHERE { ?x :c_name ?n ; :c_nation/:n_region/:r_name ?r }", "SELECT c_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+sparql("path_alt", "SELECT ?n (COUNT(*) AS ?k) WHERE { ?x (:c_nation|:s_nation)/:n_name ?n } GROUP BY ?n", "SELECT n_name AS n, count(*)::BIGINT AS k FROM (SELECT c_nationkey AS x FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON x = n_nationkey GROUP BY 1")
+sparql("path_inv", "SELECT ?r (COUNT(?c) AS ?k) WHERE { ?y :r_name ?r ; ^:n_region/^:c_nation ?c } GROUP BY ?r", "SELECT r_name AS r, count(*)::BIGINT AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+sparql("path_neg", "SELECT (COUNT(*) AS ?k) WHERE { ?x a :Nation ; !(:n_name|:n_region) ?v }", "SELECT 2 * count(*)::BIGINT AS k FROM nation")
+sparql("path_opt", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b FILTER(?a < 50) }", "SELECT c_custkey AS a, c_custkey AS b FROM customer WHERE c_custkey < 50 UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey < 50 AND c_custkey > 0")
+_TREE = "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) "
+sparql("path_plus", "SELECT ?a ?b WHERE { ?x :c_sponsor+ ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", _TREE + "SELECT a, b FROM r")
+sparql("path_plus_const", f"SELECT ?a WHERE {{ ?x :c_sponsor+ <{BASE}customer/3> . ?x :c_custkey ?a }}", _TREE + "SELECT a FROM r WHERE b = 3")
+sparql("path_star", f"SELECT ?b WHERE {{ <{BASE}customer/97> :c_sponsor* ?y . ?y :c_custkey ?b }}", _TREE + "SELECT b FROM r WHERE a = 97 UNION SELECT 97")
+sparql("path_range", "SELECT ?a ?b WHERE { ?x :c_sponsor{2,3} ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", """WITH e AS (SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0), e2 AS (SELECT x.a, y.b FROM e AS x JOIN e AS y ON x.b = y.a)
+    SELECT a, b FROM e2 UNION SELECT x.a, y.b FROM e2 AS x JOIN e AS y ON x.b = y.a""")
