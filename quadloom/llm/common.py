@@ -137,16 +137,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Lets a batch that goes to Python hold 1000 rows or 16 MB, whichever is less: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later steps outlive lost executors and repeat no work."""
-    spark = df.sparkSession
+    spark = bounded_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Block, blocks, span_hash
+from .common import BYTE_VALUES, Block, blocks, bounded_batches, span_hash
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_insults")
 
@@ -113,6 +113,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     meets another, so nothing is shuffled and memory is bounded by a block of
     about a megabyte or one text.
     """
+    bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,17 +209,16 @@ def cover(n_words: int, starts: np.ndarray, bits: np.ndarray, depth: int = DEPTH
 
 def _with_hits(docs: DataFrame, depth: int) -> DataFrame:
     """docs(row, doc_id, th, text) with ``hits``, an array of (start, bits)."""
-    _, hits = repeats(docs.select("doc_id", "th", "text"), depth)
+    _, hits = repeats(docs.select("doc_id", "th", F.col("row").getField("text").alias("text") if "row" in docs.columns else F.col("text")), depth)
     lists = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "bits")).alias("hits"))
     return docs.join(lists, ["doc_id", "th"], "left")
 
 
-def _removed(batch: pa.RecordBatch, depth: int) -> Iterator[tuple[int, Block, int, np.ndarray]]:
+def _removed(texts: pa.Array, hits: pa.Array, depth: int) -> Iterator[tuple[int, Block, int, np.ndarray]]:
     """(row in the batch, block, row in the block, flags of removed words)."""
-    hits = batch.column("hits")
     lists, flat = hits.offsets.to_numpy(), hits.values
     starts, bits = flat.field("start").to_numpy(zero_copy_only=False), flat.field("bits").to_numpy(zero_copy_only=False)
-    for b in blocks(batch.column("text")):
+    for b in blocks(texts):
         for i in range(b.n):
             r, n = b.first + i, int(b.word_at[i + 1] - b.word_at[i])
             lo, hi = (lists[r], lists[r + 1]) if hits[r].is_valid else (0, 0)
@@ -241,7 +240,7 @@ def digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, sha = [], [], []
-            for _, b, i, flags in _removed(batch, depth):
+            for _, b, i, flags in _removed(batch.column("text"), batch.column("hits"), depth):
                 lo, hi = b.word_at[i], b.word_at[i + 1]
                 s, e = b.starts[lo:hi][~flags].tolist(), b.ends[lo:hi][~flags].tolist()
                 raw = b.data.tobytes() if i == 0 else raw  # noqa: F821
@@ -261,29 +260,31 @@ def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     stood after the cut.  A text without repeats is unchanged, byte for byte.
     """
     columns = docs.columns
-    wide = _with_hits(keyed(docs), depth)
+    wide = _with_hits(keyed(docs).drop("text"), depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            new: list[str | None] = [None] * len(texts)
-            for r, b, i, flags in _removed(batch, depth):
+            rows = batch.column("row")
+            texts = rows.field(rows.type.get_field_index("text"))
+            new: list[str | None] = []
+            first = 0
+            for r, b, i, flags in _removed(texts, batch.column("hits"), depth):
                 if not flags.any():
-                    new[r] = texts[r].as_py()
-                    continue
-                lo, at = b.word_at[i], b.offsets[i]
-                raw, end = b.data[at : b.offsets[i + 1]], b.offsets[i + 1] - at
-                # each word owns the white space before it; what follows the last word stays
-                keep = np.ones(end, bool)
-                s, e = b.starts[lo : lo + len(flags)] - at, b.ends[lo : lo + len(flags)] - at
-                before = np.concatenate([[0], e[:-1]])
-                edge = np.zeros(end + 1, np.int64)
-                np.add.at(edge, before[flags], 1)
-                np.subtract.at(edge, e[flags], 1)
-                keep = np.cumsum(edge[:-1]) == 0
-                new[r] = raw[keep].tobytes().decode("utf-8", "replace")
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "new"])
+                    new.append(texts[r].as_py())
+                else:
+                    lo, at = b.word_at[i], b.offsets[i]
+                    raw, end = b.data[at : b.offsets[i + 1]], b.offsets[i + 1] - at
+                    # each word owns the white space before it; what follows the last word stays
+                    s, e = b.starts[lo : lo + len(flags)] - at, b.ends[lo : lo + len(flags)] - at
+                    before = np.concatenate([[0], e[:-1]])
+                    edge = np.zeros(end + 1, np.int64)
+                    np.add.at(edge, before[flags], 1)
+                    np.subtract.at(edge, e[flags], 1)
+                    new.append(raw[np.cumsum(edge[:-1]) == 0].tobytes().decode("utf-8", "replace"))
+                if i + 1 == b.n:
+                    yield pa.RecordBatch.from_arrays([rows.slice(first, len(new)), pa.array(new, pa.string())], ["row", "new"])
+                    first, new = r + 1, []
 
     schema = wide.select("row").schema.add("new", "string")
-    out = wide.select("row", "text", "hits").mapInArrow(run, schema)
+    out = wide.select("row", "hits").mapInArrow(run, schema)
     return out.select(*[F.col("new").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
