@@ -152,3 +152,341 @@ sparql("path_plus_const", f"SELECT ?a WHERE {{ ?x :c_sponsor+ <{BASE}customer/3>
 sparql("path_star", f"SELECT ?b WHERE {{ <{BASE}customer/97> :c_sponsor* ?y . ?y :c_custkey ?b }}", _TREE + "SELECT b FROM r WHERE a = 97 UNION SELECT 97")
 sparql("path_range", "SELECT ?a ?b WHERE { ?x :c_sponsor{2,3} ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", """WITH e AS (SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0), e2 AS (SELECT x.a, y.b FROM e AS x JOIN e AS y ON x.b = y.a)
     SELECT a, b FROM e2 UNION SELECT x.a, y.b FROM e2 AS x JOIN e AS y ON x.b = y.a""")
+
+
+# queries that are not one SPARQL text
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql.replace("$B", BASE)
+        return f
+
+    return keep
+
+
+def _quads(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
+    """Mapped tables as quads."""
+    from ..sources.relational import RelationalSource
+    from .tables import MAPS
+
+    maps = [m for m in MAPS if m.table in tables]
+    return RelationalSource(spark, maps, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")).all_quads()
+
+
+def _geo(spark: SparkSession, sf_dir: str):
+    from ..dataset import Dataset
+
+    return Dataset.of_quads(_quads(spark, sf_dir, "region", "nation"))
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    from ..operators.projections import terms_text
+
+    return terms_text(df).select("s", "p", "o", "g")
+
+
+_GEO = """SELECT '$Bregion/' || r_regionkey AS s, '$Br_regionkey' AS p, r_regionkey::VARCHAR AS o FROM region UNION ALL SELECT '$Bregion/' || r_regionkey, '$Br_name', r_name FROM region
+  UNION ALL SELECT '$Bregion/' || r_regionkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '$BRegion' FROM region
+  UNION ALL SELECT '$Bnation/' || n_nationkey, '$Bn_nationkey', n_nationkey::VARCHAR FROM nation UNION ALL SELECT '$Bnation/' || n_nationkey, '$Bn_name', n_name FROM nation
+  UNION ALL SELECT '$Bnation/' || n_nationkey, '$Bn_region', '$Bregion/' || n_regionkey FROM nation UNION ALL SELECT '$Bnation/' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '$BNation' FROM nation"""
+
+
+@query("quads_scan", _GEO)
+def quads_scan(spark, sf_dir):
+    return _shown(_geo(spark, sf_dir).quads).select("s", "p", "o")
+
+
+@query("quads_star_join", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+def quads_star_join(spark, sf_dir):
+    return _geo(spark, sf_dir).query(PREFIX + "SELECT ?n ?r WHERE { ?x a :Nation ; :n_name ?n ; :n_region ?y . ?y :r_name ?r }").df
+
+
+@query("quads_aggregate", "SELECT r_name AS r, count(*)::BIGINT AS n, sum(n_nationkey)::BIGINT AS s FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def quads_aggregate(spark, sf_dir):
+    return _geo(spark, sf_dir).query(PREFIX + "SELECT ?r (COUNT(*) AS ?n) (xsd:integer(SUM(?k)) AS ?s) WHERE { ?x :n_region/:r_name ?r ; :n_nationkey ?k } GROUP BY ?r").df
+
+
+@query("match_pattern", "SELECT '$Bnation/' || n_nationkey AS s, '$Bn_name' AS p, n_name AS o FROM nation")
+def match_pattern(spark, sf_dir):
+    from ..terms import IRI
+
+    return _shown(_geo(spark, sf_dir).match(p=IRI(BASE + "n_name"))).select("s", "p", "o")
+
+
+@query("update_insert", "SELECT count(*)::BIGINT AS n FROM (SELECT 1 FROM region UNION ALL SELECT 1)")
+def update_insert(spark, sf_dir):
+    d = _geo(spark, sf_dir).update(PREFIX + 'INSERT DATA { :region\\/9 :r_name "ATLANTIS" }')
+    return d.query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?x :r_name ?n }").df
+
+
+@query("update_delete", "SELECT n_name AS n FROM nation WHERE n_nationkey <> 3")
+def update_delete(spark, sf_dir):
+    d = _geo(spark, sf_dir).update(PREFIX + "DELETE WHERE { ?x :n_nationkey 3 ; :n_name ?n }")
+    return d.query(PREFIX + "SELECT ?n WHERE { ?x :n_name ?n }").df
+
+
+@query("update_modify", "SELECT lower(n_name) AS n, n_nationkey::BIGINT AS k FROM nation")
+def update_modify(spark, sf_dir):
+    d = _geo(spark, sf_dir).update(PREFIX + "DELETE { ?x :n_name ?n } INSERT { ?x :n_name ?m } WHERE { ?x :n_name ?n BIND(LCASE(?n) AS ?m) }")
+    return d.query(PREFIX + "SELECT ?n (xsd:integer(?j) AS ?k) WHERE { ?x :n_name ?n ; :n_nationkey ?j }").df
+
+
+@query("update_graph_mgmt", "SELECT g, n FROM (VALUES ('$Bg2', 75::BIGINT), ('$Bg3', 75::BIGINT)) AS t(g, n)")
+def update_graph_mgmt(spark, sf_dir):
+    text = "INSERT { GRAPH :g1 { ?x ?p ?o } } WHERE { ?x a :Nation ; ?p ?o FILTER(?p != :n_name) } ; COPY :g1 TO :g2 ; ADD :g2 TO :g3 ; MOVE :g1 TO :g4 ; CLEAR GRAPH :g4 ; DROP SILENT GRAPH :g5"
+    return _geo(spark, sf_dir).update(PREFIX + text).query(PREFIX + "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?x ?p ?o } } GROUP BY ?g").df
+
+
+def _with_schema(spark, sf_dir, turtle: str):
+    from ..dataset import Dataset
+    from ..sources.quads import SCHEMA
+    from ..sources.readers import parse
+
+    head = f"@prefix : <{BASE}> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . "
+    more = spark.createDataFrame(parse(head + turtle, "turtle"), SCHEMA)
+    return Dataset.of_quads(_quads(spark, sf_dir, "region", "nation").unionByName(more)), more
+
+
+@query("rdfs_subclass", "SELECT '$Bnation/' || n_nationkey AS x FROM nation UNION ALL SELECT '$Bregion/' || r_regionkey FROM region")
+def rdfs_subclass(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, ":Nation rdfs:subClassOf :Area . :Area rdfs:subClassOf :Place . :Region rdfs:subClassOf :Place .")
+    return d.materialise("RDFS").query(PREFIX + "SELECT ?x WHERE { ?x a :Place }").df
+
+
+@query("rdfs_domain_range", "SELECT DISTINCT '$Bregion/' || n_regionkey AS x FROM nation")
+def rdfs_domain_range(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, ":n_region rdfs:range :Whole ; rdfs:domain :Part ; rdfs:subPropertyOf :within .")
+    return d.materialise("RDFS").query(PREFIX + "SELECT DISTINCT ?x WHERE { ?y a :Part ; :within ?x . ?x a :Whole }").df
+
+
+@query("owl_transitive", "SELECT '$Bnation/' || n_nationkey AS x FROM nation UNION ALL SELECT '$Bregion/' || r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def owl_transitive(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, ":n_region rdfs:subPropertyOf :within . :within a owl:TransitiveProperty . " + " ".join(f"<{BASE}region/{i}> :within :world ." for i in range(5)))
+    return d.materialise("OWL-RL").query(PREFIX + "SELECT ?x WHERE { ?x :within :world FILTER EXISTS { { ?x a :Nation } UNION { ?y :n_region ?x } } }").df
+
+
+@query("owl_inverse", "SELECT '$Bregion/' || n_regionkey AS r, '$Bnation/' || n_nationkey AS n FROM nation")
+def owl_inverse(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, ":n_region owl:inverseOf :has .")
+    return d.materialise("OWL-RL").query(PREFIX + "SELECT ?r ?n WHERE { ?r :has ?n }").df
+
+
+@query("owl_sameas", "SELECT n_name AS n FROM nation WHERE n_nationkey = 5")
+def owl_sameas(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, f":code a owl:InverseFunctionalProperty . <{BASE}nation/5> :code 'E' . :other :code 'E' .")
+    return d.materialise("OWL-RL").query(PREFIX + "SELECT ?n WHERE { :other :n_name ?n }").df
+
+
+@query("owl_clash", "SELECT 'cax-dw' AS rule, 5::BIGINT AS n")
+def owl_clash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    d, _ = _with_schema(spark, sf_dir, ":Region owl:disjointWith :Whole . " + " ".join(f"<{BASE}region/{i}> a :Whole ." for i in range(5)))
+    return d.consistency().groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("owl_chain", "SELECT count(*)::BIGINT AS n FROM nation")
+def owl_chain(spark, sf_dir):
+    d, _ = _with_schema(spark, sf_dir, ":inWorld owl:propertyChainAxiom (:n_region :of) . " + " ".join(f"<{BASE}region/{i}> :of :world ." for i in range(5)))
+    return d.materialise("OWL-RL").query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?x :inWorld :world }").df
+
+
+@query("datalog_rules", "SELECT a.n_name AS a, b.n_name AS b FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def datalog_rules(spark, sf_dir):
+    d = _geo(spark, sf_dir).materialise("Simple", [f"?x <{BASE}n_region> ?r . ?y <{BASE}n_region> ?r . ?x != ?y -> ?x <{BASE}near> ?y"])
+    return d.query(PREFIX + "SELECT ?a ?b WHERE { ?x :near ?y ; :n_name ?a . ?y :n_name ?b }").df
+
+
+def _shacl(name: str, shape: str, sql: str, data: str = "") -> None:
+    def run(spark, sf_dir):
+        from pyspark.sql import functions as F
+
+        d, shapes = _with_schema(spark, sf_dir, data + shape)
+        return d.validate(shapes).select(F.substr("focus", F.lit(2)).alias("focus"), "component")
+
+    QUERIES["shacl_" + name] = run
+    ORACLES["shacl_" + name] = sql.replace("$B", BASE)
+
+
+_N1 = "SELECT '$Bnation/' || n_nationkey AS focus, '{}' AS component FROM nation WHERE {}"
+_shacl("mincount", ":S a sh:NodeShape ; sh:targetClass :Nation ; sh:property [ sh:path :capital ; sh:minCount 1 ] .", _N1.format("MinCount", "true"))
+_shacl("maxcount", ":S a sh:NodeShape ; sh:targetClass :Region ; sh:property [ sh:path [ sh:inversePath :n_region ] ; sh:maxCount 4 ] .", "SELECT '$Bregion/' || n_regionkey AS focus, 'MaxCount' AS component FROM nation GROUP BY n_regionkey HAVING count(*) > 4")
+_shacl("datatype", ":S sh:targetClass :Nation ; sh:property [ sh:path :n_name ; sh:datatype xsd:integer ] .", _N1.format("Datatype", "true"))
+_shacl("pattern", ":S sh:targetClass :Nation ; sh:property [ sh:path :n_name ; sh:pattern '^[A-M]' ] .", _N1.format("Pattern", "NOT regexp_matches(n_name, '^[A-M]')"))
+_shacl("range", ":S sh:targetClass :Nation ; sh:property [ sh:path :n_nationkey ; sh:minInclusive 3 ; sh:maxExclusive 20 ] .", _N1.format("MinInclusive", "n_nationkey < 3") + " UNION ALL " + _N1.format("MaxExclusive", "n_nationkey >= 20"))
+_shacl("class", ":S sh:targetClass :Nation ; sh:property [ sh:path :n_region ; sh:class :Nation ] .", _N1.format("Class", "true"))
+_shacl("in", f":S sh:targetSubjectsOf :n_region ; sh:property [ sh:path :n_region ; sh:in ( <{BASE}region/0> <{BASE}region/1> ) ] .", _N1.format("In", "n_regionkey > 1"))
+_shacl("unique_lang", f":S sh:targetNode <{BASE}nation/1>, <{BASE}nation/2> ; sh:property [ sh:path :label ; sh:uniqueLang true ] .", _N1.format("UniqueLang", "n_nationkey = 1"), f'<{BASE}nation/1> :label "a"@en, "b"@en . <{BASE}nation/2> :label "a"@en, "b"@fr . ')
+_shacl("closed", ":S sh:targetClass :Region ; sh:closed true ; sh:ignoredProperties ( <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> ) ; sh:property [ sh:path :r_name ] .", "SELECT '$Bregion/' || r_regionkey AS focus, 'Closed' AS component FROM region")
+_shacl("logic", ":S sh:targetClass :Nation ; sh:or ( [ sh:property [ sh:path :n_nationkey ; sh:maxInclusive 5 ] ] [ sh:property [ sh:path :n_nationkey ; sh:minInclusive 20 ] ] ) .", _N1.format("Or", "n_nationkey > 5 AND n_nationkey < 20"))
+_shacl("not", f":S sh:targetClass :Nation ; sh:not [ sh:property [ sh:path :n_region ; sh:hasValue <{BASE}region/2> ] ] .", _N1.format("Not", "n_regionkey = 2"))
+_shacl("sparql", f':S sh:targetClass :Nation ; sh:sparql [ sh:select "SELECT $this ?value WHERE {{ $this <{BASE}n_region> ?value . ?value <{BASE}r_name> \'ASIA\' }}" ] .', "SELECT '$Bnation/' || n_nationkey AS focus, 'SPARQL' AS component FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+
+
+@query("rdf12_reifier", "SELECT n_name AS n, 'sure' AS c FROM nation WHERE n_nationkey < 2")
+def rdf12_reifier(spark, sf_dir):
+    from ..dataset import Dataset
+    from ..sources.quads import SCHEMA
+    from ..sources.readers import parse
+
+    text = f"@prefix : <{BASE}> . " + " ".join(f"<{BASE}nation/{i}> :n_region <{BASE}region/{i}> ~ :r{i} {{| :certainty 'sure' |}} ." for i in range(2))
+    d = Dataset.of_quads(_quads(spark, sf_dir, "region", "nation").unionByName(spark.createDataFrame(parse(text, "turtle"), SCHEMA)))
+    return d.query(PREFIX + "PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> SELECT ?n ?c WHERE { ?r rdf:reifies <<( ?x :n_region ?y )>> ; :certainty ?c . ?x :n_name ?n }").df
+
+
+@query("list_functions", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders WHERE o_custkey < 20 GROUP BY 1")
+def list_functions(spark, sf_dir):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ..operators import projections as P
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 20")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    cell = lambda i: F.when(i == 0, F.concat(F.lit(f"I{BASE}lists/"), "o_custkey")).otherwise(F.concat(F.lit("Bc"), "o_custkey", F.lit("_"), i.cast("string")))
+    n = orders.select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    pairs = F.array(
+        F.struct(F.lit(f"I{rdf}first").alias("p"), F.concat(F.lit("Lx:integer\x1f\x1f"), "o_orderkey").alias("o")),
+        F.struct(F.lit(f"I{rdf}rest").alias("p"), F.when(F.col("i") + 1 == F.col("n"), F.lit(f"I{rdf}nil")).otherwise(cell(F.col("i") + 1)).alias("o")),
+    )
+    quads = n.select(cell(F.col("i")).alias("s"), F.explode(pairs).alias("x")).select("s", "x.p", "x.o", F.lit(None).cast("string").alias("g"))
+    found = P.lists(quads).where(F.col("list").startswith("I"))
+    fn = P.list_functions(F.col("items"))
+    return found.select(F.substr("list", F.lit(2)).alias("list"), fn["listLength"].alias("n"), F.get(F.split(fn["listGet"](F.lit(0)), "\x1f"), F.lit(2)).alias("first"))
+
+
+@query("void_stats", """SELECT 'triples' AS statistic, '' AS subject, count(*)::BIGINT AS n FROM (%s) UNION ALL SELECT 'propertyPartition', p, count(*) FROM (%s) GROUP BY p
+    UNION ALL SELECT 'classPartition', o, count(*) FROM (%s) WHERE p LIKE '%%#type' GROUP BY o""" % (_GEO, _GEO, _GEO))
+def void_stats(spark, sf_dir):
+    from ..operators.projections import void
+
+    return void(_geo(spark, sf_dir).quads).where("statistic IN ('triples', 'propertyPartition', 'classPartition')")
+
+
+@query("lpg_nodes", "SELECT '$BRegion' AS label, 5::BIGINT AS nodes, 10::BIGINT AS properties UNION ALL SELECT '$BNation', 25, 50")
+def lpg_nodes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators.projections import lpg_nodes as nodes
+
+    n = nodes(_geo(spark, sf_dir).quads)
+    return n.groupBy(F.get("labels", F.lit(0)).alias("label")).agg(F.count("*").alias("nodes"), F.sum(F.size("properties")).alias("properties"))
+
+
+@query("lpg_edges", "SELECT '$Bnation/' || n_nationkey AS source, '$Bn_region' AS label, '$Bregion/' || n_regionkey AS target FROM nation")
+def lpg_edges(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators.projections import lpg_edges as edges
+
+    return edges(_geo(spark, sf_dir).quads).select(F.substr("source", F.lit(2)).alias("source"), "label", F.substr("target", F.lit(2)).alias("target"))
+
+
+@query("embedding_topk", """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q.e) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10""")
+def embedding_topk(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators.projections import top_k
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    return top_k(e, q).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("table_function", "SELECT n_name AS n, n_nationkey * 10::BIGINT AS v FROM nation WHERE n_nationkey < 3")
+def table_function(spark, sf_dir):
+    rows = [(f"I{BASE}nation/{i}", f"Lx:integer\x1f\x1f{i * 10}") for i in range(3)]
+    d = dataset(spark, sf_dir, relations={BASE + "score": spark.createDataFrame(rows, "a string, b string")})
+    return d.query(PREFIX + "SELECT ?n (xsd:integer(?s) AS ?v) WHERE { ?x :n_name ?n . ?x :score ?s }").df
+
+
+@query("udf", "SELECT p_partkey AS k, reverse(p_name) AS v FROM part")
+def udf(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions.values import Val, as_string
+
+    d = dataset(spark, sf_dir, functions={BASE + "backwards": lambda a: Val("str", F.reverse(as_string(a)))})
+    return d.query(PREFIX + "SELECT ?k (:backwards(?n) AS ?v) WHERE { ?x :p_partkey ?k ; :p_name ?n }").df
+
+
+@query("custom_agg", "SELECT p_brand AS b, exp(avg(ln(p_retailprice))) AS v FROM part GROUP BY 1")
+def custom_agg(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..functions.values import as_double
+
+    d = dataset(spark, sf_dir, aggregates={BASE + "geomean": lambda args, a: ("dbl", F.exp(F.avg(F.log(as_double(args[0])))), None)})
+    return d.query(PREFIX + "SELECT ?b (AGG(:geomean, ?p) AS ?v) WHERE { ?x :p_brand ?b ; :p_retailprice ?p } GROUP BY ?b").df
+
+
+@query("service_seam", "SELECT n_name AS n, 'remote' AS w FROM nation WHERE n_nationkey = 4")
+def service_seam(spark, sf_dir):
+    from ..terms import IRI, Literal
+
+    d = dataset(spark, sf_dir, service=lambda endpoint, text, names: [{"x": IRI(BASE + "nation/4"), "w": Literal("remote")}])
+    return d.query(PREFIX + "SELECT ?n ?w WHERE { ?x :n_name ?n SERVICE <http://far.test/> { ?x :w ?w } }").df
+
+
+@query("prebinding", "SELECT n_name AS n FROM nation WHERE n_regionkey = 2")
+def prebinding(spark, sf_dir):
+    from ..terms import IRI
+
+    return dataset(spark, sf_dir).query(PREFIX + "SELECT ?n WHERE { ?x :n_region ?r ; :n_name ?n }", bindings={"r": IRI(BASE + "region/2")}).df
+
+
+@query("skolem_round_trip", _GEO)
+def skolem_round_trip(spark, sf_dir):
+    from ..operators import projections as P
+
+    q = _geo(spark, sf_dir).quads
+    return _shown(P.deskolemize(P.skolemize(q, "http://auth.test"), "http://auth.test")).select("s", "p", "o")
+
+
+@query("dataset_diff", "SELECT 'left' AS side, count(*)::BIGINT AS n FROM nation")
+def dataset_diff(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ..operators import projections as P
+
+    q = _geo(spark, sf_dir).quads
+    return P.difference(q, q.where(F.col("p") != f"I{BASE}n_name")).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query("canonical_blanks", "SELECT true AS same")
+def canonical_blanks(spark, sf_dir):
+    from ..operators import projections as P
+    from ..sources.quads import SCHEMA
+    from ..sources.readers import parse
+
+    text = "@prefix : <http://t.test/> . _:a :p _:b . _:b :q 'x', _:c . _:c :q _:a . [] :r _:c ."
+    a, b = (spark.createDataFrame(parse(text.replace("_:a", x), "turtle", x[2:]), SCHEMA) for x in ("_:one", "_:two"))
+    return spark.createDataFrame([(P.isomorphic(a, b),)], "same boolean")
+
+
+@query("columnar_round_trip", _GEO)
+def columnar_round_trip(spark, sf_dir):
+    import uuid
+
+    from ..sources.columnar import read_tables, write_tables
+    from ..storage import workspace
+
+    path = f"{workspace(spark)}/tables-{uuid.uuid4().hex}"
+    write_tables(_geo(spark, sf_dir).quads, path)
+    return _shown(read_tables(spark, path)).select("s", "p", "o")
+
+
+@query("ntriples_round_trip", _GEO)
+def ntriples_round_trip(spark, sf_dir):
+    import uuid
+
+    from ..sources.readers import read
+    from ..sources.writers import write
+    from ..storage import workspace
+
+    path = f"{workspace(spark)}/lines-{uuid.uuid4().hex}"
+    write(_geo(spark, sf_dir).quads, path, "nquads")
+    return _shown(read(spark, path, "nquads")).select("s", "p", "o")
