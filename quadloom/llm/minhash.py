@@ -16,7 +16,8 @@ documents joined by links form a group:
   that end in the pivot's group need no more comparisons;
 * a bucket whose members are still in several groups goes on with further
   pivots, eight times as many in each round, until every pair of its members
-  is in one group, was compared, or cannot be similar by its sketch.
+  is in one group, was compared, or cannot be similar: by its sketch, or as a
+  member shares too little with all other groups together.
 """
 
 from __future__ import annotations
@@ -145,6 +146,27 @@ def _plausible(similarity: float) -> str:
     return f"least(n, m) >= {similarity} * greatest(n, m) AND bit_count(k1 ^ q1) + bit_count(k2 ^ q2) <= {SKETCH_DIFFERS}"
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are in more than one group."""
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def _able(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The members that could still be similar to one of another group.
+
+    Two similar sets share so many elements that each has at least that part
+    of its own in common with members of other groups.  A member with too many
+    elements of its own, or of its own group alone, is done, without having
+    been compared with any other.
+    """
+    ids = rows.select("rep", "label", "n").distinct()
+    elements = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "n", F.explode("elements").alias("e"))
+    spread = elements.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
+    held = elements.join(spread, "e", "left_semi").groupBy("rep").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    return held.where(F.col("held") >= similarity * F.col("n")).select("rep")
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs(id, text) -> (id, group): ids linked to others and the smallest id of their group.
 
@@ -170,24 +192,23 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     links = stored(_verified(pairs, sets, similarity).select("a", "b"), "links")
     found = stored(components(links), "groups")
 
+    # further pivots, by their place in the bucket; the first one has met all others
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    rest = buckets.where("size > 2").select("key", "rep", "n", "k1", "k2").withColumn("rank", rank)
     low, high = 1, 8
-    rest = buckets.where("size > 2").select("key", "rep", "n", "k1", "k2")
     while True:
-        # a bucket is open while its members are in more than one group and some were not compared with all others
-        labelled = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        open_keys = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(f"lo < hi AND size > {low + 1}").select("key")
-        open_rows = stored(labelled.join(open_keys, "key"), "open")
-        if open_rows.isEmpty():
+        labelled = rest.where(F.col("rank") > low).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        rest = stored(_open(labelled), "open")
+        if rest.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        ranked = open_rows.withColumn("rank", rank)
-        chosen = ranked.where(f"rank > {low} AND rank <= {high}").select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("label").alias("to"), F.col("rank").alias("at"))
-        more = ranked.join(chosen, "key").where(f"rank > at AND label <> to AND {_plausible(similarity)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        rest = stored(_open(rest.join(_able(rest, sets, similarity), "rep", "left_semi")), "open")
+        chosen = rest.where(F.col("rank") <= high).select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("label").alias("to"), F.col("rank").alias("at"))
+        more = rest.join(chosen, "key").where(f"rank > at AND label <> to AND {_plausible(similarity)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         new = stored(_verified(more, sets, similarity).select("a", "b"), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             found = stored(components(links), "groups")
-        rest, low, high = open_rows.drop("label"), high, high * 8
+        rest, low, high = rest.drop("label"), high, high * 8
 
     reps = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select("s1", "s2", "n", F.coalesce("component", "rep").alias("group"))
     ids = signed_docs.select("id", "s1", "s2", "n").join(reps, ["s1", "s2", "n"]).select("id", "group")
