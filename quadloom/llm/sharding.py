@@ -4,19 +4,21 @@ Records are ordered by a key in which equal texts are neighbours.  A sample of
 keys, drawn with the records' sizes as weights, gives quantile boundaries that
 cut this order into ranges; a range that still turns out overfull, as one that
 holds a text with many copies does, is subdivided by a second key.  Exact sums
-of the ranges, of which there is a fixed number, then tell at which byte of the
+of the ranges then tell at which byte of the
 whole order each range begins, and a record's byte its shard.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: ranges for each shard, sampled keys for each range, cells that subdivide a range
-RANGES, SAMPLE, CELLS = 8, 16, 64
+#: least ranges for each shard, and most ranges at all; bytes that a range should hold; sampled keys for each range; cells that subdivide an overfull range
+RANGES, MOST, TARGET, SAMPLE, CELLS = 8, 20_000, 64 << 20, 16, 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -33,48 +35,40 @@ def shard(rows: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     among them or they fill a range.  Null keys and texts are ordered like any value, repeated rows
     take a slot each, an empty table gives no rows, and other columns are kept.
 
-    The table is read three times: for the sample, of at most shards x RANGES x
-    SAMPLE keys; for the sums, at most shards x RANGES x CELLS of them; and for
-    the rows, which are shuffled once.  What the driver holds is bounded by
-    these three parameters.
+    The table is read for its size, for the sample, for the ranges' sums, for
+    those of overfull ranges, and for the rows, which are shuffled once.  There
+    are as many ranges as the size asks for, at most MOST; the driver holds
+    SAMPLE keys and one sum for each of them.
     """
     spark = rows.sparkSession
-    most = shards * RANGES
     base = rows.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(key), F.lit(7)).alias("h2"), size_of(text).alias("size"))
     slim = base.select("h1", "h2", "size")
+    total = rows.agg(F.sum(size_of(text))).first()[0] or 0
+    most = max(shards * RANGES, min(MOST, total // TARGET))
 
     # the keys that come first by an exponential clock of rate size: a weighted sample without replacement
     uniform = (F.shiftrightunsigned(F.xxhash64("h1", "h2", F.lit(11)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     drawn = sorted(r[0] for r in slim.select("h1", (-F.log(uniform) / F.col("size")).alias("clock")).orderBy("clock", "h1").limit(most * SAMPLE).select("h1").collect())
-    bounds = sorted({drawn[len(drawn) * i // most] for i in range(1, most)}) if drawn else []
+    bounds = np.array(sorted({drawn[len(drawn) * i // most] for i in range(1, most)}) if drawn else [], np.int64)
 
-    # the range of a key: how many boundaries are not above it, by binary search over a constant array
-    def range_of(h: Column) -> Column:
-        if not bounds:
-            return F.lit(0)
-        array = F.array(*[F.lit(b).cast("long") for b in bounds])
-        return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length() - 1)), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), _halve(array, h), lambda s: s["lo"])
+    @F.pandas_udf("int")
+    def range_of(h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, h.to_numpy(np.int64), side="right").astype(np.int32))
 
+    sums = slim.select(range_of("h1").alias("range"), "size").groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    # an overfull range is cut into cells; another one is a single cell
+    full = sorted(r["range"] for r in sums if r["bytes"] > 2 * total / most)
     cell = F.pmod("h2", F.lit(CELLS)).cast("int")
-    sums = slim.select(range_of(F.col("h1")).alias("range"), cell.alias("cell"), "size").groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    by_range: dict[int, int] = {}
-    for r in sums:
-        by_range[r["range"]] = by_range.get(r["range"], 0) + r["bytes"]
-    total = sum(by_range.values())
-    # an overfull range keeps its cells apart; another one is a single cell
-    full = {r for r, b in by_range.items() if b > 2 * total / most}
-    units: dict[tuple[int, int], list[int]] = {}
-    for r in sums:
-        unit = units.setdefault((r["range"], r["cell"] if r["range"] in full else 0), [0, 0])
-        unit[0], unit[1] = unit[0] + r["bytes"], unit[1] + r["n"]
+    is_full = F.col("range").isin(full) if full else F.lit(False)
+    cells = slim.select(range_of("h1").alias("range"), cell.alias("cell"), "size").where(is_full).groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect() if full else []
+    units = [(r["range"], 0, r["bytes"], r["n"]) for r in sums if r["range"] not in set(full)] + [tuple(r) for r in cells]
     begins, at, n = [], 0, 0
-    for (r, c), (b, k) in sorted(units.items()):
+    for r, c, b, k in sorted(units):
         begins.append((r, c, at, n))
         at, n = at + b, n + k
 
-    starts = F.broadcast(spark.createDataFrame(begins, "unit_range int, unit_cell int, bytes_before long, rows_before long"))  # at most shards x RANGES x CELLS rows
-    is_full = F.col("range").isin(sorted(full)) if full else F.lit(False)
-    placed = base.withColumn("range", range_of(F.col("h1"))).withColumn("cell", F.when(is_full, cell).otherwise(F.lit(0)))
+    starts = F.broadcast(spark.createDataFrame(begins, "unit_range int, unit_cell int, bytes_before long, rows_before long"))  # a row for each range, and CELLS for an overfull one
+    placed = base.withColumn("range", range_of("h1")).withColumn("cell", F.when(is_full, cell).otherwise(F.lit(0)))
     placed = placed.join(starts, (F.col("range") == F.col("unit_range")) & (F.col("cell") == F.col("unit_cell")))
     order = Window.partitionBy("range", "cell").orderBy("h1", "h2", "size")
     before = F.col("bytes_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -101,13 +95,3 @@ def digests(docs: DataFrame, shards: int = 24) -> DataFrame:
         "row.doc_id", "_placed.size", F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
         "_placed.shard", "_placed.slot", F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def _halve(array: Column, h: Column):
-    def step(s: Column, _: Column) -> Column:
-        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(array, mid) <= h
-        go = s["lo"] < s["hi"]
-        return F.struct(F.when(go & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~below, mid).otherwise(s["hi"]).alias("hi"))
-
-    return step
