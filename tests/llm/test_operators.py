@@ -271,6 +271,22 @@ def test_pitman_yor_predicts_held_out_text_better_than_its_base(spark):
     assert sum(x["score"] for x in r) > 0.7 * sum(x["base_score"] for x in r)
 
 
+@pytest.mark.parametrize("share", [pitman_yor.SHARE, 12_000])
+def test_pitman_yor_has_a_restaurant_for_each_previous_word(spark, share):
+    rng = random.Random(3)
+    # 6000 words, each always followed by its own successor: as classes of words, contexts would predict one of many
+    after = list(range(6000))
+    rng.shuffle(after)
+    rows = []
+    for d in range(600):
+        w = [rng.randrange(6000)]
+        for _ in range(200):
+            w.append(after[w[-1]])
+        rows.append((d, " ".join(f"w{x}" for x in w)))
+    r = [x for x in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), share=share).collect() if x["held_out"]]
+    assert sum(x["score"] for x in r) > 0.1 * sum(x["base_score"] for x in r)
+
+
 def test_pitman_yor_probabilities_sum_to_one():
     d = pitman_yor.Dishes(np.array([0, 0, 1]), np.array([0, 1, 1]), np.array([5, 2, 1]), 2, 7)
     t = pitman_yor.Totals(np.array([5.0, 3.0]), np.array([2.0, 2.0]), 4.0, 2.0, 0.7, 0.5, 1 / 3)
