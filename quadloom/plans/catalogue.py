@@ -57,6 +57,11 @@ sparql("optional_chain_unbound", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_m
     """WITH a AS (SELECT c_custkey AS c, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN 'pre' END AS t FROM customer WHERE c_custkey < 40),
       v(g, t) AS (VALUES ('BUILDING', 'pre'), ('BUILDING', 'post'), ('MACHINERY', 'post'))
     SELECT a.c, coalesce(a.t, v.t) AS t FROM a LEFT JOIN v ON a.g = v.g AND (a.t = v.t OR a.t IS NULL)""")
+sparql("optional_chain_unbound_all", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_mktsegment ?g
+      OPTIONAL { ?x :c_acctbal ?b . BIND("pre" AS ?t) FILTER(?b < 0) } OPTIONAL { VALUES (?g ?t) { ("BUILDING" "pre") ("BUILDING" "post") ("MACHINERY" "post") } } }""",
+    """WITH a AS (SELECT c_custkey AS c, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN 'pre' END AS t FROM customer),
+      v(g, t) AS (VALUES ('BUILDING', 'pre'), ('BUILDING', 'post'), ('MACHINERY', 'post'))
+    SELECT a.c, coalesce(a.t, v.t) AS t FROM a LEFT JOIN v ON a.g = v.g AND (a.t = v.t OR a.t IS NULL)""")
 sparql("union", "SELECT ?n WHERE { { ?x :c_name ?n } UNION { ?x :s_name ?n } }", "SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier")
 sparql("union_hetero", "SELECT ?n ?b ?s WHERE { { ?x :c_name ?n ; :c_acctbal ?b } UNION { ?x :p_name ?n ; :p_size ?s } }", "SELECT c_name AS n, c_acctbal AS b, NULL::BIGINT AS s FROM customer UNION ALL SELECT p_name, NULL, p_size::BIGINT FROM part")
 sparql("minus", "SELECT ?c WHERE { ?x :c_custkey ?c MINUS { ?o :o_customer ?x ; :o_orderstatus \"F\" } }", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -146,6 +151,7 @@ sparql("path_alt", "SELECT ?n (COUNT(*) AS ?k) WHERE { ?x (:c_nation|:s_nation)/
 sparql("path_inv", "SELECT ?r (COUNT(?c) AS ?k) WHERE { ?y :r_name ?r ; ^:n_region/^:c_nation ?c } GROUP BY ?r", "SELECT r_name AS r, count(*)::BIGINT AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 sparql("path_neg", "SELECT (COUNT(*) AS ?k) WHERE { ?x a :Nation ; !(:n_name|:n_region) ?v }", "SELECT 2 * count(*)::BIGINT AS k FROM nation")
 sparql("path_opt", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b FILTER(?a < 50) }", "SELECT c_custkey AS a, c_custkey AS b FROM customer WHERE c_custkey < 50 UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey < 50 AND c_custkey > 0")
+sparql("path_opt_all", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", "SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey > 0")
 _TREE = "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) "
 sparql("path_plus", "SELECT ?a ?b WHERE { ?x :c_sponsor+ ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", _TREE + "SELECT a, b FROM r")
 sparql("path_plus_const", f"SELECT ?a WHERE {{ ?x :c_sponsor+ <{BASE}customer/3> . ?x :c_custkey ?a }}", _TREE + "SELECT a FROM r WHERE b = 3")
@@ -337,12 +343,21 @@ def rdf12_reifier(spark, sf_dir):
 
 @query("list_functions", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders WHERE o_custkey < 20 GROUP BY 1")
 def list_functions(spark, sf_dir):
+    return _order_lists(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 20"))
+
+
+@query("list_functions_all", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders GROUP BY o_custkey")
+def list_functions_all(spark, sf_dir):
+    return _order_lists(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def _order_lists(orders):
+    """The lists that customers' orders make, with their length and first item."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from ..operators import projections as P
 
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 20")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     cell = lambda i: F.when(i == 0, F.concat(F.lit(f"I{BASE}lists/"), "o_custkey")).otherwise(F.concat(F.lit("Bc"), "o_custkey", F.lit("_"), i.cast("string")))
     n = orders.select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))

@@ -33,3 +33,12 @@ def test_against_sql(spark, name):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name, column", [("list_functions_all", "list"), ("path_opt_all", "a"), ("optional_chain_unbound_all", "c")])
+def test_whole_tables_against_sql(spark, name, column):
+    test_against_sql(spark, name)
+    ids = {int(str(r[0]).rsplit("/", 1)[-1]) for r in entry.queries()[name](spark, SF).select(column).collect()}
+    table, key = ("orders", "o_custkey") if column == "list" else ("customer", "c_custkey")
+    assert ids == {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
