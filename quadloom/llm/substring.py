@@ -4,17 +4,21 @@ A window is 50 consecutive words of one document: the first 50 words of a
 suffix.  Its words are removed if the same 50 words start in a document with a
 smaller id.
 
-* **Prefixes.** Every window holds a smallest 8-word gram (a minimiser), the
-  same one wherever the window occurs.  Neighbouring windows that share it form
-  a *span*.  Equal windows meet under their gram, so grams split the suffixes
-  into groups; equal spans are one branch and are joined to one before that
-  (most of a copied document ends there).  Groups of a single document end too.
-* **Variable length.** A group with more branches than a task should hold is
-  split by longer prefixes, up to the whole window, and then needs no tree: a
-  node at the full depth is an aggregate, combined before the shuffle.
-* **Subtrees.** The other groups become suffix trees by prefix doubling: nodes
-  at depth 1, 2, 4 ... 32 and the window's depth.  Internal nodes at that depth
-  are the maximal repeats' windows, and each carries its smallest document.
+* **Prefixes.** The trees are sparse: they hold the suffixes that begin at a
+  minimiser, the smallest 8-word gram of a window, with the words before it that
+  the window has.  Equal windows have equal minimisers, so no repeat is missed,
+  and the gram, as the prefix of the suffix, splits suffixes into groups.
+  Neighbouring windows with one minimiser are a *span*.
+* **Leaves.** Equal spans are one leaf with the smallest document and whether
+  there are others; leaves are made before the words are fetched, so copies of a
+  document are one.  Groups of a single document end here, and a group with one
+  leaf needs no words: every window of its other documents is repeated.
+* **Subtrees.** The spans of a group are sorted with the longest common prefixes
+  of neighbours, which are the tree's internal nodes.  Those of 50 words or more
+  are the repeats; each carries its smallest document.
+* **Variable length.** A group whose branches would not fit the memory of a task
+  takes longer prefixes, each window's own suffix, up to the depth of 50 words.
+  There a node is all that is left of a tree, and it is summed before the shuffle.
 
 All comparisons are between words by 64-bit hashes and between spans by 128-bit
 hashes of their words.  Only hashes and positions are shuffled; texts twice, by
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import Block, blocks, mix, signed, span_hash, stored
 
-#: words of a window; of the grams that split suffixes; branches that one subtree may have
-DEPTH, GRAM, GROUP = 50, 8, 2048
+#: words of a window; of the prefixes that split suffixes first; branches that fit a task's memory, of up to 92 words with a rank for each doubling
+DEPTH, GRAM, GROUP = 50, 8, 16_384
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,42 +73,73 @@ def spans(b: Block, depth: int = DEPTH, gram: int = GRAM) -> dict[str, np.ndarra
     return {"row": doc[first], "start": s - b.word_at[doc[first]], "n": n, "g": g[least[first]], "h1": span_hash(h, s, e), "h2": span_hash(h, s, e, 1)}
 
 
-def nodes(words: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For each start, the node at ``depth`` that its suffix passes in the suffix tree of ``words``.
+class Tree:
+    """The suffix tree of some branches: their suffixes in order, and its internal nodes of ``depth`` words or more.
 
-    Prefix doubling: the nodes at depth 2d are the pairs of nodes at depth d.
+    ``branches`` are the words of all branches and ``lengths`` how many each
+    has; only suffixes of ``depth`` words or more are in the tree.  Suffixes are
+    sorted by prefix doubling, and the same ranks give the longest common prefix
+    of neighbours, which never reaches over a branch's end.  A node's suffixes
+    are an interval of the order: ``first`` and ``last`` bound it, ``string_depth``
+    is the length of the repeat that the node stands for.
     """
 
-    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)[1]
-
-    rank, have = np.unique(words, return_inverse=True)[1], 1
-    while have < depth:
-        step = min(have, depth - have)
-        ahead = np.full(len(rank), len(rank))
-        ahead[: len(rank) - step] = rank[step:]
-        rank, have = join(rank, ahead), have + step
-    return rank[starts]
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch], depth: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, depth: int = DEPTH):
+        n = np.maximum(lengths - depth + 1, 0)
+        at = np.cumsum(lengths) - lengths
+        self.branch = np.repeat(np.arange(len(lengths)), n)
+        self.place = np.arange(len(self.branch)) - np.repeat(np.cumsum(n) - n, n)
+        starts = at[self.branch] + self.place
+        left = lengths[self.branch] - self.place
+
+        ranks, have, most = [np.unique(words, return_inverse=True)[1]], [1], int(lengths.max(initial=1))
+        while have[-1] < most:
+            step, rank = min(have[-1], most - have[-1]), ranks[-1]
+            ahead = np.full(len(rank), -1)
+            ahead[: len(rank) - step] = rank[step:]
+            ranks.append(np.unique(rank << 32 | ahead + 1, return_inverse=True)[1])
+            have.append(have[-1] + step)
+        self.order = np.argsort(ranks[-1][starts], kind="stable")
+        i, j = starts[self.order[:-1]], starts[self.order[1:]]
+        common = np.zeros(len(i), np.int64)
+        bound = np.minimum(left[self.order[:-1]], left[self.order[1:]])
+        for rank, k in reversed(list(zip(ranks, have, strict=True))):
+            a, b = np.minimum(i + common, len(words) - 1), np.minimum(j + common, len(words) - 1)
+            # only lengths that double may be met twice; the last one is an odd one out and is met first
+            same = (rank[a] == rank[b]) & (common < bound)
+            common += np.where(same, k, 0)
+        self.common = np.minimum(common, bound)
+        #: each suffix's node at ``depth``, in the order, a leaf of its own where no other suffix shares so much
+        cut = np.append(True, self.common < depth) if len(self.order) else np.empty(0, bool)
+        self.first = np.flatnonzero(cut)
+        self.node = np.cumsum(cut) - 1
+        self.last = np.append(self.first[1:], len(self.order)) - 1 if len(self.first) else self.first
+        deep = np.append(self.common, 0) if len(self.order) else self.common
+        inner = np.where(np.append(~cut[1:], False), deep, np.iinfo(np.int64).max) if len(self.order) else deep
+        self.string_depth = np.minimum.reduceat(inner, self.first) if len(self.first) else self.first
+        leaf = self.string_depth == np.iinfo(np.int64).max
+        self.string_depth = np.where(leaf, left[self.order[self.first]] if len(self.first) else 0, self.string_depth)
+
+    def least(self, value_of_branch: np.ndarray) -> np.ndarray:
+        """The smallest value among the branches of each suffix's node, by suffix."""
+        out = np.empty(len(self.order), value_of_branch.dtype)
+        if len(self.order):
+            out[self.order] = np.minimum.reduceat(value_of_branch[self.branch[self.order]], self.first)[self.node]
+        return out
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], depth: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """(h1, h2, bits) from rows (g, h1, h2, doc, n, words) in the order of g: windows that a smaller document has too."""
     held: list[tuple] = []
     size = 0
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         words = np.concatenate([np.frombuffer(r[5], np.uint64) for r in rows])
-        lengths = np.array([len(r[5]) // 8 for r in rows])
-        n, doc = np.array([r[4] for r in rows]), np.array([r[3] for r in rows], np.int64)
-        at = np.cumsum(lengths) - lengths
-        of = np.repeat(np.arange(len(rows)), n)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        node = nodes(words, at[of] + k, depth)
-        least = np.full(len(words) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, doc[of])
-        hit = least[node] < doc[of]
+        doc = np.array([r[3] for r in rows], np.int64)
+        tree = Tree(words, np.array([len(r[5]) // 8 for r in rows]), depth)
+        hit = tree.least(doc) < doc[tree.branch]
         bits = np.zeros(len(rows), np.uint64)
-        np.bitwise_or.at(bits, of[hit], np.uint64(1) << k[hit].astype(np.uint64))
+        np.bitwise_or.at(bits, tree.branch[hit], np.uint64(1) << tree.place[hit].astype(np.uint64))
         some = np.flatnonzero(bits)
         return pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in some], pa.int64()), pa.array([rows[i][2] for i in some], pa.int64()), signed(bits[some])], ["h1", "h2", "bits"])
 
@@ -182,9 +217,10 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group: int =
                 same = lambda v: pa.array(np.full(n, v))
                 yield pa.RecordBatch.from_arrays([signed(span_hash(w, at, at + depth)), signed(span_hash(mix(w), at, at + depth, 1)), same(h1), same(h2), same(doc), pa.array(at)], ["w1", "w2", "h1", "h2", "doc_id", "k"])
 
-    # overfull groups: prefixes as long as the window
+    # groups that memory would not hold: prefixes as long as the window
     whole = suffixes.where(F.col("branches") > group).mapInArrow(explode, "w1 long, w2 long, h1 long, h2 long, doc_id long, k long")
-    least = whole.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    # written, so that the join that follows deals a hot window to several tasks
+    least = stored(whole.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "nodes")
     full = whole.join(least, ["w1", "w2"]).where("lo < doc_id").groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1L, CAST(k AS INT)))").alias("bits"))
 
     part = trees.unionByName(full).groupBy("h1", "h2").agg(F.bit_or("bits").alias("bits"))

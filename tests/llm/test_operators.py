@@ -67,11 +67,42 @@ def test_substring(docs, none, group, monkeypatch):
         assert text == dict(TEXTS)[d]
 
 
-def test_substring_nodes():
-    words = np.array([1, 2, 1, 2, 1, 3], np.uint64)
-    n = substring.nodes(words, np.arange(4), 3)
-    assert n[0] == n[2] - 0 or n[0] != n[1]
-    assert len(set(n.tolist())) == len({tuple(words[i : i + 3]) for i in range(4)})
+def test_substring_tree():
+    rng = np.random.default_rng(1)
+    for case in range(60):
+        depth, letters = int(rng.integers(1, 8)), int(rng.integers(1, 4))
+        branches = [rng.integers(0, letters, int(rng.integers(depth, 30))) for _ in range(int(rng.integers(1, 9)))]
+        t = substring.Tree(np.concatenate(branches).astype(np.uint64), np.array([len(b) for b in branches]), depth)
+        suffixes = [tuple(branches[i][k:].tolist()) for i, k in zip(t.branch, t.place, strict=True)]
+        assert all(len(x) >= depth for x in suffixes) and len(suffixes) == sum(len(b) - depth + 1 for b in branches)
+        nodes = {}
+        for x in suffixes:
+            nodes.setdefault(x[:depth], []).append(x)
+        assert len(nodes) == len(t.first)
+        for lo, hi, deep in zip(t.first.tolist(), t.last.tolist(), t.string_depth.tolist(), strict=True):
+            mine = [suffixes[i] for i in t.order[lo : hi + 1]]
+            assert sorted(nodes[mine[0][:depth]]) == sorted(mine)
+            common = 0
+            while all(len(x) > common and x[common] == mine[0][common] for x in mine):
+                common += 1
+            assert deep == common
+        doc = rng.integers(0, 9, len(branches))
+        least = t.least(doc)
+        for x, v in zip(suffixes, least.tolist(), strict=True):
+            assert v == min(doc[i] for i, y in zip(t.branch, suffixes, strict=True) if y[:depth] == x[:depth])
+
+
+def test_substring_decides_by_trees(spark, docs):
+    """Every window to remove is in a leaf with a smaller document or below an internal node; no group is too large for a tree here."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text").distinct()
+    _, hits = substring.repeats(rows)
+    found = {(r["doc_id"], r["th"], r["start"] + i) for r in hits.collect() for i in range(64) if r["bits"] >> i & 1}
+    texts = [(r["doc_id"], r["th"], brute.words(r["text"])) for r in rows.collect()]
+    least = {}
+    for d, _, w in texts:
+        for i in range(len(w) - 49):
+            least[tuple(w[i : i + 50])] = min(d, least.get(tuple(w[i : i + 50]), d))
+    assert found == {(d, th, i) for d, th, w in texts for i in range(len(w) - 49) if least[tuple(w[i : i + 50])] < d}
 
 
 def test_quality(docs, none):
