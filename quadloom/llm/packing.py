@@ -5,10 +5,10 @@ driver.  There a sequence's content is a *configuration*: how many pieces of
 each length.  The linear program that covers the histogram with as few
 configurations as possible is solved by multiplicative weights: lengths that
 are covered more than others get cheaper, and a knapsack dynamic program over
-the prices finds the next configuration.  Its fractional solution is rounded
-down, and what is left is packed best-fit decreasing, still by counts.  A plan
-has a few thousand configurations whatever the input's size; pieces find their
-places in it by their rank within their length.
+the prices finds the next configurations.  Its fractional solution is rounded,
+and the program solved again for what rounding leaves.  Pieces find their places
+in the plan by their rank within their length; the plan has some thousand
+configurations whatever the input's size.
 """
 
 from __future__ import annotations
@@ -29,10 +29,15 @@ from pyspark.sql import types as T
 from .common import stored, text_buffers
 
 CAPACITY, END = 4096, 1
-#: rounds of multiplicative weights, and how strongly a length's coverage lowers its price
-ROUNDS, RATE = 400, 0.25
-#: parts into which ranking deals the pieces of one length
-SALTS = 64
+#: how strongly a length's coverage lowers its price; how much worse than the best a configuration may be; configurations of one pricing
+RATE, NEAR, COLUMNS = 1.0, 0.01, 16
+#: what part of its scarcest length's need a configuration takes in the first solution; tokens that rounding may leave, as a part of all;
+#: and how full a configuration must be while any such one is found
+STEP, RESIDUE, FULL = 0.25, 0.005, 0.999
+#: solutions that are tried where lengths do not fill sequences, and how strongly wasted space changes weights
+PASSES, LEARN = 12, 1.0
+#: pieces of one length that are ranked together
+RANKED = 100_000
 #: words that one Python process remembers
 CACHE = 500_000
 
@@ -141,111 +146,211 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length (index + 1) the dearest configuration holds."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    n = len(prices)
-    for c in range(1, capacity + 1):
-        m = min(c, n)
-        value = best[c - m : c][::-1] + prices[:m]
-        k = int(value.argmax())
-        if value[k] > best[c - 1]:
-            best[c], take[c] = value[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    held, c = np.zeros(n, np.int64), capacity
-    while c > 0:
-        if take[c]:
-            held[take[c] - 1] += 1
-            c -= take[c]
-        else:
-            c -= 1
-    return held
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over counts of lengths (index + 1), as (configuration, times).
-
-    Sequences with the same content are one class; placing all pieces of a
-    length splits at most one class for each remaining space, so the work
-    depends on the number of lengths and not of pieces.
-    """
-    room: dict[int, list[tuple[dict[int, int], int]]] = {}
-    spaces = np.zeros(capacity + 1, bool)
-    for length in range(len(counts), 0, -1):
-        left = int(counts[length - 1])
-        while left:
-            fit = np.flatnonzero(spaces[length:])
-            if len(fit):
-                r = length + int(fit[0])
-                content, times = room[r].pop()
-                if not room[r]:
-                    spaces[r] = False
+class Knapsack:
+    """What each space up to ``capacity`` is worth at most under some prices, by dynamic programming; price[i] is that of length i + 1."""
+
+    def __init__(self, price: np.ndarray, capacity: int):
+        self.price, best, take = price, np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        n = int(np.flatnonzero(price > 0).max(initial=-1)) + 1
+        # turned round, so that each step reads forwards
+        turned = price[:n][::-1].copy()
+        for c in range(1, capacity + 1):
+            m = min(c, n)
+            value = best[c - m : c] + turned[n - m :]
+            k = int(value.argmax()) if m else 0
+            if m and value[k] > best[c - 1]:
+                best[c], take[c] = value[k], m - k
             else:
-                # new sequences take as many of this length as fit
-                r, content, times = capacity, {}, -(-left // (capacity // length))
-            each = min(r // length, max(1, left // times))
-            used = min(times, left // each)
-            if used < times:
-                if content:
-                    room.setdefault(r, []).append((content, times - used))
-                    spaces[r] = True
-            now = content | {length: content.get(length, 0) + each}
-            room.setdefault(r - each * length, []).append((now, used))
-            spaces[r - each * length] = r - each * length > 0
-            left -= used * each
-    return [c for held in room.values() for c in held]
-
-
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used, that hold counts[i] pieces of length i + 1, exactly."""
-    left = counts.astype(np.int64).copy()
-    plan: list[tuple[dict[int, int], int]] = []
-    if left.sum() > rounds:
-        lengths, need = np.arange(1, len(counts) + 1), np.maximum(counts, 1)
-        covered, chosen, total = np.zeros(len(counts)), [], 0.0
-        volume = float((lengths * counts).sum()) / capacity
-        for _ in range(rounds):
-            # the volume is the dual's first guess; what is covered ahead of the others loses value
-            price = np.where(counts > 0, lengths * np.exp(-RATE * (covered * volume / max(total, 1e-9) - 1 if total else 0 * covered)), -1.0)
-            held = knapsack(price, capacity)
-            some = held > 0
-            if not some.any():
-                break
-            step = max(1.0, min(float((need[some] / held[some]).min()), volume / rounds * 4))
+                best[c] = best[c - 1]
+        self.best, self.take = best, take
+
+    def fill(self, space: int, left: np.ndarray, held: dict[int, int]) -> dict[int, int]:
+        """``held`` with the dearest content of the space besides, of which no length is taken more often than ``left`` has."""
+        while space > 0:
+            k = int(self.take[space])
+            if not k:
+                space -= 1
+                continue
+            if held.get(k, 0) >= left[k - 1]:
+                # the best that is left, with the worth of the space after it
+                m = min(space, len(left))
+                value = np.where(left[:m] > 0, self.price[:m] + self.best[space - m : space][::-1], -1.0)
+                for length, times in held.items():
+                    if length <= m and times >= left[length - 1]:
+                        value[length - 1] = -1.0
+                # of equals the longest, as short pieces are of use to the end
+                k = m - int(value[::-1].argmax())
+                if value[k - 1] <= 0:
+                    return held
+            held[k] = held.get(k, 0) + 1
+            space -= k
+        return held
+
+
+def relax(counts: np.ndarray, capacity: int, share: float, full: float, weight: np.ndarray | float = 1.0) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A fractional solution of the configuration program, as (configuration, how often), and the dual's bound.
+
+    Multiplicative weights: a length is worth its tokens, times ``weight``, times
+    exp(-RATE * coverage), and nothing once it is covered.  The knapsack finds
+    the dearest configuration; through its table also the dearest one that holds
+    a given length, and those that are within NEAR of the best are used too, for
+    the lengths that are covered least.  A configuration is used for ``share`` of
+    what its scarcest length still needs.  It ends when all is covered, or when
+    no configuration is worth its place, holding ``full`` tokens.  Prices divided
+    by the dearest configuration are feasible in the dual, whose best value
+    bounds the optimum.
+    """
+    lengths, need = np.arange(1, len(counts) + 1), np.maximum(counts, 1)
+    rest, chosen, bound = counts.astype(float), [], 0.0
+    while True:
+        open_ = np.flatnonzero(rest > 1e-9)
+        if not len(open_):
+            return chosen, bound
+        covered = 1 - rest / need
+        price = np.where(rest > 1e-9, lengths * weight * np.exp(-RATE * covered), 0.0)
+        sack = Knapsack(price, capacity)
+        bound = max(bound, float((counts * price).sum() / sack.best[capacity]))
+        value = price[open_] + sack.best[capacity - lengths[open_]]
+        first = open_[np.lexsort((-lengths[open_], covered[open_], value < (1 - NEAR) * sack.best[capacity]))][:COLUMNS]
+        met = np.zeros(len(counts), bool)
+        # what is still to be covered now limits the configurations of this round
+        now = np.ceil(rest - 1e-9)
+        used = False
+        for i in first.tolist():
+            if met[i] or rest[i] <= 1e-9:
+                continue
+            held = sack.fill(capacity - i - 1, now, {i + 1: 1})
+            if sum(n * k for n, k in held.items()) < full:
+                continue
+            used = True
+            at = np.array(list(held), np.int64) - 1
+            times = np.array(list(held.values()), float)
+            most = float((rest[at] / times).min())
+            step = most if len(held) == 1 or most <= 1 else max(1.0, share * most)
+            rest[at] -= times * step
+            rest[np.abs(rest) < 1e-9] = 0
+            now[at] = np.ceil(rest[at] - 1e-9)
+            met[at] = True
             chosen.append((held, step))
-            covered, total = covered + held * step / need, total + step
-            if total >= volume:
-                break
-        for held, step in sorted(chosen, key=lambda x: -x[1]):
-            some = held > 0
-            times = int(min(np.floor(step), (left[some] // held[some]).min()))
-            if times > 0:
-                plan.append(({int(i) + 1: int(held[i]) for i in np.flatnonzero(some)}, times))
-                left -= held * times
-    plan += best_fit(left, capacity)
-    plain = best_fit(counts, capacity)
-    return min(plan, plain, key=lambda p: sum(t for _, t in p))
+        if not used:
+            return chosen, bound
+
 
+def cover(counts: np.ndarray, capacity: int, share: float) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """As ``relax``, for lengths of which no full configurations can be made: all are covered, by as few as PASSES find.
 
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    Lengths in configurations that waste space weigh more in the next pass, so
+    that those take company while there is some; it ends where the dual proves
+    that no fewer sequences would do.
+    """
+    weight, best, bound = np.ones(len(counts)), None, 0.0
+    for _ in range(PASSES):
+        chosen, dual = relax(counts, capacity, share, 0.0, weight)
+        bound, used = max(bound, dual), sum(x for _, x in chosen)
+        if best is None or used < best[1] - 1e-9:
+            best = (chosen, used)
+        if np.ceil(used - 1e-6) <= np.ceil(bound - 1e-6):
+            break
+        loss = np.zeros(len(counts))
+        for held, step in chosen:
+            waste = 1 - sum(n * k for n, k in held.items()) / capacity
+            for n, k in held.items():
+                loss[n - 1] += waste * step * k
+        weight = weight * np.exp(LEARN * loss / np.maximum(counts, 1))
+    return best[0], bound
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], dict[str, float]]:
+    """Configurations and how often each is used, that hold counts[i] pieces of length i + 1, exactly; and how it went.
+
+    The program is solved, its solution rounded down; a configuration whose
+    fraction is left is used once more while its pieces last, the largest
+    fraction first.  The program is solved again for what remains, with larger
+    steps, until that is less than RESIDUE of all tokens or one sequence; this
+    rest alone goes best-fit decreasing, into the spaces left or new sequences.
+    Configurations that are not nearly full wait until no others are found.
+    """
+    left = counts.astype(np.int64).copy()
+    lengths = np.arange(1, len(counts) + 1)
+    volume = int((lengths * left).sum())
+    plan: list[tuple[dict[int, int], int]] = []
+    share, bound, full = STEP, None, FULL * capacity
+    while (lengths * left).sum() > max(RESIDUE * volume, capacity):
+        chosen, dual = relax(left, capacity, share, full) if full else cover(left, capacity, share)
+        bound = dual if bound is None else bound
+        chosen.sort(key=lambda x: -x[1])
+        again = []
+        for held, step in chosen:
+            at, each = np.array(list(held), np.int64) - 1, np.array(list(held.values()), np.int64)
+            times = int(min(np.floor(step + 1e-9), (left[at] // each).min()))
+            if times > 0:
+                plan.append((held, times))
+                left[at] -= each * times
+            if step - times > 1e-9:
+                again.append((step - times, at, each, held))
+        for _, at, each, held in sorted(again, key=lambda x: -x[0]):
+            if (left[at] >= each).all():
+                plan.append((held, 1))
+                left[at] -= each
+        if not chosen:
+            if not full:
+                break
+            full = 0.0
+        share = min(1.0, share * 2)
+    residue = int((lengths * left).sum())
+    plan = fill_up(plan, left, capacity)
+    used = sum(t for _, t in plan)
+    return plan, {"sequences": used, "dual_bound": bound or 0.0, "volume_bound": -(-volume // capacity), "residue": residue / max(volume, 1)}
+
+
+def fill_up(plan: list[tuple[dict[int, int], int]], left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan with the pieces that are left, longest first, in the smallest space that holds them or in sequences of their own."""
+    room: dict[int, list[list]] = {}
+    out = [[dict(held), times] for held, times in plan]
+    for entry in out:
+        room.setdefault(capacity - sum(n * k for n, k in entry[0].items()), []).append(entry)
+    for i in np.flatnonzero(left)[::-1].tolist():
+        length = i + 1
+        for _ in range(int(left[i])):
+            space = min((r for r, entries in room.items() if r >= length and entries), default=None)
+            if space is None:
+                entry, space = [{}, 1], capacity
+                out.append(entry)
+            else:
+                entry = room[space].pop()
+                if entry[1] > 1:
+                    entry[1] -= 1
+                    room[space].append(entry)
+                    entry = [dict(entry[0]), 1]
+                    out.append(entry)
+            entry[0][length] = entry[0].get(length, 0) + 1
+            room.setdefault(space - length, []).append(entry)
+    return [(held, times) for held, times in out]
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
     """found(doc_id, piece, length, ...) with sequence_id and offset, in as few sequences as the plan needs.
 
     Every row is one piece and gets one place; ties and repeated rows get
     places of their own; an empty table gives no rows.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(SALTS)).cast("int")
-    salted = found.withColumn("_salt", salt)
-    # at most capacity x SALTS rows
+    spark = found.sparkSession
+    # at most ``capacity`` rows
+    sizes = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts = np.zeros(capacity, np.int64)
+    for length, n in sizes.items():
+        counts[length - 1] = n
+    salts = spark.createDataFrame([(int(n), int(-(-k // ranked))) for n, k in sizes.items()], "_of long, _salts long")
+    salted = found.join(F.broadcast(salts), F.col("length") == F.col("_of")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.col("_salts"))).drop("_of", "_salts")
+    # a row for each length, and one for each ``ranked`` pieces
     cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])
-    counts = np.bincount(cells["length"].to_numpy(int) - 1, weights=cells["n"].to_numpy(float), minlength=capacity).astype(np.int64)[:capacity]
-    cell_key = cells["length"].to_numpy(np.int64) * SALTS + cells["_salt"].to_numpy(np.int64)
+    cell_key = cells["length"].to_numpy(np.int64) << 32 | cells["_salt"].to_numpy(np.int64)
     before = cells["n"].to_numpy(np.int64).cumsum() - cells["n"].to_numpy(np.int64)
     length_before = np.concatenate([[0], counts.cumsum()])
     cell_first = before - length_before[cells["length"].to_numpy(int) - 1]
 
     rows, used, first = [], np.zeros(capacity + 1, np.int64), 0
-    for content, times in solve(counts, capacity):
+    for content, times in solve(counts, capacity)[0]:
         at = 0
         for length, each in sorted(content.items(), reverse=True):
             rows.append((length, used[length], each, first, at))
@@ -260,7 +365,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         key = plan[:, 0] * span + plan[:, 1]
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            cell = np.searchsorted(cell_key, length * SALTS + batch.column("_salt").to_numpy(zero_copy_only=False))
+            cell = np.searchsorted(cell_key, length << 32 | batch.column("_salt").to_numpy(zero_copy_only=False))
             rank = batch.column("_rank").to_numpy(zero_copy_only=False) + (cell_first[cell] if len(cell) else 0)
             p = plan[np.searchsorted(key, length * span + rank, side="right") - 1] if len(length) else np.zeros((0, 5), np.int64)
             k = rank - p[:, 1]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -82,3 +84,37 @@ def quality(text: str | None) -> tuple[int, int, int, int, int]:
         if c[tuple(w[i : i + 3])] > 1:
             cov |= {i, i + 1, i + 2}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cov)
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing over counts of lengths (index + 1), as (configuration, times).
+
+    Sequences with the same content are one class; placing all pieces of a
+    length splits at most one class for each remaining space, so the work
+    depends on the number of lengths and not of pieces.
+    """
+    room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    spaces = np.zeros(capacity + 1, bool)
+    for length in range(len(counts), 0, -1):
+        left = int(counts[length - 1])
+        while left:
+            fit = np.flatnonzero(spaces[length:])
+            if len(fit):
+                r = length + int(fit[0])
+                content, times = room[r].pop()
+                if not room[r]:
+                    spaces[r] = False
+            else:
+                # new sequences take as many of this length as fit
+                r, content, times = capacity, {}, -(-left // (capacity // length))
+            each = min(r // length, max(1, left // times))
+            used = min(times, left // each)
+            if used < times:
+                if content:
+                    room.setdefault(r, []).append((content, times - used))
+                    spaces[r] = True
+            now = content | {length: content.get(length, 0) + each}
+            room.setdefault(r - each * length, []).append((now, used))
+            spaces[r - each * length] = r - each * length > 0
+            left -= used * each
+    return [c for held in room.values() for c in held]

@@ -257,16 +257,44 @@ def test_word_ids_are_the_tokenizer_s():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == t.encode(text, add_special_tokens=False).ids, text
 
 
-@pytest.mark.parametrize("lengths", [[100] * 1000, [1400] * 9, list(range(1, 900)) * 2, [4096, 4095, 1, 1], []])
+@pytest.mark.parametrize("lengths", [[100] * 1000, [1400] * 9, list(range(1, 900)) * 2, [4096, 4095, 1, 1], [3000] * 40 + [1000] * 50 + [90] * 30, [], [7]])
 def test_packing_plans(lengths):
     counts = np.bincount(np.array(lengths, int), minlength=4097)[1:]
-    plan = packing.solve(counts, rounds=60)
+    plan, how = packing.solve(counts)
     held = np.zeros(4096, int)
     for content, times in plan:
         assert sum(n * k for n, k in content.items()) <= 4096
         for n, k in content.items():
             held[n - 1] += k * times
     assert (held == counts).all()
+    assert how["dual_bound"] - 1e-6 <= how["sequences"] <= sum(t for _, t in brute.best_fit(counts, 4096))
+
+
+def test_packing_is_done_by_the_program():
+    """On lengths of a skewed distribution, few and many: hardly anything is left to best fit, and the dual proves the plan to be nearly optimal."""
+    rng = np.random.default_rng(11)
+    for n in (300, 3000, 60_000):
+        lengths = np.minimum(np.maximum(rng.lognormal(5.7, 1.3, n).astype(int), 1), 4096)
+        counts = np.bincount(lengths, minlength=4097)[1:]
+        plan, how = packing.solve(counts)
+        assert how["residue"] < 0.03 if n < 1000 else how["residue"] < 0.01
+        assert how["sequences"] <= sum(t for _, t in brute.best_fit(counts, 4096))
+        assert how["sequences"] <= how["dual_bound"] * 1.005 + 1
+
+
+def test_packing_ranks_within_salts(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 3 = 0, 4096L, 1 + id % 700) AS length")
+    rows = packing.pack(df, ranked=50).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(rows) == 5000
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 4096
 
 
 def test_pitman_yor(spark, docs, none):
