@@ -99,7 +99,8 @@ def signatures(docs: DataFrame, k: int = SHINGLE, counts: bool = False) -> DataF
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)) * w.astype(np.uint64))])
                     digest.append(total[at[1:]] - total[at[:-1]])
                 r = prob_minhash(doc, h, w, b.n)
-                bits = mix(r ^ np.uint64(0xABCDEF0123)) & np.uint64(1)
+                # a bit for the element and the register: registers are independent, so are those of one element
+                bits = mix(r ^ mix(np.uint64(0xABCDEF0123) + np.arange(REGISTERS, dtype=np.uint64))[None, :]) & np.uint64(1)
                 half = np.uint64(1) << np.arange(REGISTERS // 2, dtype=np.uint64)
                 k1, k2 = (bits[:, : REGISTERS // 2] * half).sum(axis=1, dtype=np.uint64), (bits[:, REGISTERS // 2 :] * half).sum(axis=1, dtype=np.uint64)
                 key = np.zeros((b.n, BANDS), np.uint64)
@@ -115,22 +116,19 @@ def signatures(docs: DataFrame, k: int = SHINGLE, counts: bool = False) -> DataF
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, k1 long, k2 long")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs(id, text) -> (id, elements): the shingle set, of one text where a partition repeats an id."""
+def _sets(docs: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """docs(id, text) -> (id, elements): the shingle sets, a row for each different one where ids are ``repeated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            fresh = [not (i in seen or seen.add(i)) for i in ids]
-            if not all(fresh):
-                batch = batch.filter(pa.array(fresh))
             for b in blocks(batch.column("text")):
                 doc, h, _ = shingle_weights(b, k)
                 at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.n))])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(b.first, b.n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(h))], ["id", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements array<long>")
+    found = docs.mapInArrow(run, "id long, elements array<long>")
+    # the elements are sorted, so equal sets have equal digests
+    return found.withColumn("_d", F.xxhash64("elements")).dropDuplicates(["id", "_d"]).drop("_d") if repeated else found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -162,8 +160,10 @@ def _able(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """
     ids = rows.select("rep", "label", "n").distinct()
     elements = ids.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "label", "n", F.explode("elements").alias("e"))
-    spread = elements.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e")
-    held = elements.join(spread, "e", "left_semi").groupBy("rep").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    # written, so that the join deals a hot element to several tasks
+    spread = stored(elements.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("e"), "spread")
+    # an id may stand for several sets: their elements together are compared with the smallest
+    held = elements.join(spread, "e", "left_semi").groupBy("rep").agg(F.count("*").alias("held"), F.min("n").alias("n"))
     return held.where(F.col("held") >= similarity * F.col("n")).select("rep")
 
 
@@ -188,8 +188,9 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
 
     # texts of the documents that some other one may match; each is read and dealt out once
     candidates = buckets.select("rep").distinct()
-    sets = stored(_sets(docs.join(candidates.withColumnRenamed("rep", "id"), "id", "left_semi"), k), "sets")
-    links = stored(_verified(pairs, sets, similarity).select("a", "b"), "links")
+    repeated = not signed_docs.select("id").groupBy("id").count().where("count > 1").isEmpty()
+    sets = stored(_sets(docs.join(candidates.withColumnRenamed("rep", "id"), "id", "left_semi"), k, repeated), "sets")
+    links = stored(_verified(pairs, sets, similarity).select("a", "b").distinct(), "links")
     found = stored(components(links), "groups")
 
     # further pivots, by their place in the bucket; the first one has met all others
@@ -204,7 +205,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
         rest = stored(_open(rest.join(_able(rest, sets, similarity), "rep", "left_semi")), "open")
         chosen = rest.where(F.col("rank") <= high).select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("label").alias("to"), F.col("rank").alias("at"))
         more = rest.join(chosen, "key").where(f"rank > at AND label <> to AND {_plausible(similarity)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        new = stored(_verified(more, sets, similarity).select("a", "b"), "links")
+        new = stored(_verified(more, sets, similarity).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             found = stored(components(links), "groups")

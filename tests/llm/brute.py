@@ -41,13 +41,15 @@ def shingles(text: str | None, k: int = 5) -> set[tuple]:
 
 
 def near_groups(docs: list[tuple[int, str | None]], similarity: float = 0.8) -> dict[int, int]:
-    """id -> smallest id of its group, over all pairs that share a shingle."""
-    sets = {d: shingles(t) for d, t in docs}
+    """id -> smallest id of its group, over all pairs that share a shingle; an id stands for all its texts."""
+    docs = list(docs)
+    of = [d for d, _ in docs]
+    sets = [shingles(t) for _, t in docs]
     by: dict[tuple, list[int]] = {}
-    for d, s in sets.items():
+    for d, s in enumerate(sets):
         for x in s:
             by.setdefault(x, []).append(d)
-    parent = {d: d for d in sets}
+    parent = {d: d for d in of}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -62,9 +64,9 @@ def near_groups(docs: list[tuple[int, str | None]], similarity: float = 0.8) ->
                     done.add((a, b))
                     n = len(sets[a] & sets[b])
                     if n / (len(sets[a]) + len(sets[b]) - n) >= similarity:
-                        x, y = sorted((root(a), root(b)))
+                        x, y = sorted((root(of[a]), root(of[b])))
                         parent[y] = x
-    return {d: root(d) for d in sets}
+    return {d: root(d) for d in of}
 
 
 def quality(text: str | None) -> tuple[int, int, int, int, int]:
