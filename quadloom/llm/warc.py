@@ -12,11 +12,13 @@ UUIDs derived from the response's id, so a rerun writes the same bytes.
 from __future__ import annotations
 
 import base64
+import functools
 import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,31 +27,85 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: elements whose content is not text of the page
-_HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "iframe", "textarea", "select")
+#: elements whose content is not markup and not text of the page; those whose content is markup but not text
+_RAW = frozenset(("script", "style", "noscript", "iframe", "textarea", "xmp", "noembed", "noframes"))
+_HIDDEN = frozenset(("template", "head", "svg", "select"))
+#: elements that a head may hold; any other one ends it
+_IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
 #: elements that stand on lines of their own
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul body html title".split())
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    + "".join(rf"|<{t}(?=[\s/>])[^>]*>.*?(?:</{t}\s*>|\Z)" for t in _HIDDEN)
-    + r"|</?([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>",
-    re.S | re.I,
-)
+#: a whole tag; nothing is matched twice, so what is no tag costs one pass
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=[ \t\n\f\r]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    """The visible text of an HTML page: blocks on lines, runs of white space as one space, no empty lines."""
+@functools.cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
 
-    def mark(m: re.Match) -> str:
-        name = m[1]
-        return "\x00" if name and name.lower() in _BLOCKS else ("" if name else " ")
+def plain_text(page: str) -> str:
+    """The visible text of an HTML page: blocks on lines, runs of white space as one space, no empty lines.
 
+    One pass, as a browser reads: a comment, tag or script without an end hides
+    all that follows; an unknown declaration ends at the next ``>``.
+    """
+    s = page.replace("\x00", "\ufffd")
+    out: list[str] = []
+    pos, hidden, depth = 0, "", 0
+    while True:
+        i = s.find("<", pos)
+        if i < 0:
+            if not hidden:
+                out.append(s[pos:])
+            break
+        if not hidden:
+            out.append(s[pos:i])
+        next_ = s[i + 1 : i + 2]
+        if next_.isascii() and (next_.isalpha() or next_ == "/" and s[i + 2 : i + 3].isascii() and s[i + 2 : i + 3].isalpha()):
+            m = _TAG.match(s, i)
+            if not m:
+                break
+            pos, name, ends = m.end(), m[2].lower(), bool(m[1])
+            if hidden == "head" and (name == "head" and ends or name not in _IN_HEAD and name != "head"):
+                hidden = ""
+            elif hidden == name:
+                depth += -1 if ends else 0 if m[3].endswith("/") else 1
+                if not depth:
+                    hidden = ""
+                continue
+            if not ends and name in _RAW:
+                close = _end_of(name).search(s, pos)
+                if not close:
+                    break
+                pos = close.start()
+                if not hidden:
+                    out.append(" ")
+            elif hidden:
+                pass
+            elif name in _HIDDEN:
+                if not ends and not (name == "svg" and m[3].endswith("/")):
+                    hidden, depth = name, 1
+                out.append(" ")
+            elif name in _BLOCKS:
+                out.append("\x00")
+        elif next_ in ("!", "?", "/"):
+            end, size = ("-->", 3) if s.startswith("<!--", i) else ("]]>", 3) if s.startswith("<![CDATA[", i) else (">", 1)
+            j = s.find(end, i + 2)
+            if j < 0:
+                break
+            pos = j + size
+            if not hidden:
+                out.append(" ")
+        else:
+            pos = i + 1
+            if not hidden:
+                out.append("<")
     # line breaks of the source are white space; the marks become the lines
-    text = html.unescape(_MARKUP.sub(mark, page.replace("\x00", "�")))
+    text = html.unescape("".join(out))
     lines = (" ".join(x.split()) for x in text.split("\x00"))
     return "\n".join(x for x in lines if x)
 
@@ -61,16 +117,52 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """The named fields, in lower case, and the block of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    """The named fields, in lower case, and the block of a record; ValueError for what is no whole record.
+
+    Of a field that is repeated the first one counts; a line that begins with
+    white space goes on with the one before.
+    """
+    head, found, rest = data.partition(b"\r\n\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    if not lines[0].startswith("WARC/") or not found:
         raise ValueError("no WARC record")
-    fields = {}
+    fields: dict[str, str] = {}
     for line in lines[1:]:
         k, _, v = line.partition(":")
-        fields[k.strip().lower()] = v.strip()
-    return fields, rest[: int(fields["content-length"])]
+        fields.setdefault(k.strip().lower(), v.strip())
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or int(length) > len(rest):
+        raise ValueError("no length, or a block that is cut short")
+    return fields, rest[: int(length)]
+
+
+def body_of(headers: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content encodings; as it is where it does not follow them, or they are unknown."""
+    named = {}
+    for k, v in headers:
+        named.setdefault(k.lower(), v.lower())
+    try:
+        if "chunked" in named.get("transfer-encoding", ""):
+            out, at = [], 0
+            while True:
+                end = payload.index(b"\r\n", at)
+                n = int(payload[at:end].split(b";")[0], 16)
+                if not n:
+                    break
+                out.append(payload[end + 2 : end + 2 + n])
+                at = end + 4 + n
+            payload = b"".join(out)
+        for coding in reversed([x.strip() for x in named.get("content-encoding", "").split(",")]):
+            if coding in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif coding == "deflate":
+                try:
+                    payload = zlib.decompress(payload)
+                except zlib.error:
+                    payload = zlib.decompress(payload, -15)
+    except (ValueError, EOFError, OSError, zlib.error):
+        pass
+    return payload
 
 
 def _id(*parts: str) -> str:
@@ -104,18 +196,23 @@ def responses(pages: DataFrame, page: str = "page_id", url: str = "url", body: s
     return pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), F.col(body).alias("html")).mapInArrow(run, "page long, record binary")
 
 
-def derive(data: bytes) -> tuple[bytes, bytes]:
-    """The metadata and the conversion record of a response record."""
-    fields, block = parse(data)
+def derive(data: bytes | None) -> tuple[bytes, bytes] | None:
+    """The metadata and the conversion record of a response record; None for other records and what is no whole record with an id."""
+    try:
+        fields, block = parse(data or b"")
+    except ValueError:
+        return None
+    if fields.get("warc-type", "").lower() != "response" or not fields.get("warc-record-id"):
+        return None
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("latin-1").split("\r\n")
     http = [tuple(x.strip() for x in line.split(":", 1)) for line in lines if ":" in line]
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body_of(http, payload).decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        page = body_of(http, payload).decode("utf-8", "replace")
     text = plain_text(page).encode() if "html" in kind or not kind else page.encode()
     source = fields["warc-record-id"]
     common = [("WARC-Date", fields.get("warc-date", DATE)), ("WARC-Target-URI", fields.get("warc-target-uri", "")), ("WARC-Refers-To", source)]
@@ -131,19 +228,21 @@ def derive(data: bytes) -> tuple[bytes, bytes]:
 def derivatives(records: DataFrame) -> DataFrame:
     """(page, metadata, conversion): two records for each response of records(page, record).
 
-    Other record types, null records and what is no WARC record give no row.
-    Each record is derived by itself; nothing is shuffled.
+    Other record types, null records and what is no whole WARC record with an id
+    and a length give no row.  A record that is repeated gives the same two
+    records again, ids included.  Each record is derived by itself; nothing is
+    shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages, metas, texts = [], [], []
             for key, data in zip(batch.column("page").to_pylist(), batch.column("record").to_pylist(), strict=True):
-                if data and data.startswith(b"WARC/") and re.search(rb"\r\nWARC-Type:\s*response\s*\r\n", data[:4096], re.I):
-                    m, c = derive(data)
+                made = derive(data)
+                if made:
                     pages.append(key)
-                    metas.append(m)
-                    texts.append(c)
+                    metas.append(made[0])
+                    texts.append(made[1])
             yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(metas, pa.binary()), pa.array(texts, pa.binary())], ["page", "metadata", "conversion"])
 
     return records.mapInArrow(run, "page long, metadata binary, conversion binary")

@@ -120,3 +120,44 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
             spaces[r - each * length] = r - each * length > 0
             left -= used * each
     return [c for held in room.values() for c in held]
+
+
+def page_text(page: str) -> str:
+    """The visible text of a page by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    blocks = "br div p".split()
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "svg"):
+                self.hidden += 1
+                self.out.append(" ")
+            elif tag in blocks and not self.hidden:
+                self.out.append("\x00")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "svg"):
+                self.hidden -= 1
+            elif tag in blocks and not self.hidden:
+                self.out.append("\x00")
+
+        def handle_startendtag(self, tag, attrs):
+            if tag in blocks and not self.hidden:
+                self.out.append("\x00")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in "".join(r.out).split("\x00")) if x)

@@ -511,6 +511,49 @@ def test_warc(spark):
     assert gzip.decompress(member).count(b"WARC/1.1\r\n") == 2
 
 
+def test_warc_text_is_linear_and_as_a_parser_reads():
+    import time
+
+    for page in ("<script " * 130_000, "<a " * 350_000, "<a href='" * 110_000, "<!--" * 260_000, "<" * 1_000_000, "<svg>" * 200_000, "<head>" * 170_000, "<script></scrip" * 70_000, "</" * 500_000, '<p =="' * 170_000, "<textarea>x</textarea " * 45_000):
+        t = time.time()
+        warc.plain_text(page)
+        assert time.time() - t < 2, page[:20]
+    assert warc.plain_text("<head><title>t</title><body>a") == "a"
+    assert warc.plain_text("<head><title>t</title><p>a") == "a"
+    assert warc.plain_text("a<svg/>b<svg><svg></svg>x</svg>c") == "a b c"
+    assert warc.plain_text("a < b &lt; c<script>1<2</script >d <p title='x>y'>e") == "a < b < c d\ne"
+    rng = random.Random(4)
+
+    def node(depth):
+        kind = rng.choice(["text", "text", "p", "b", "div", "br", "script", "comment", "svg", "a"])
+        inner = "".join(node(depth - 1) for _ in range(rng.randrange(4))) if depth else "z"
+        return {
+            "text": rng.choice(["word ", "&amp;", " x\n", "caf\u00e9", "&lt;p&gt;"]), "br": "<br/>", "script": "<SCRIPT type='a'>if (a<b) '</p>'</Script>", "comment": "<!-- <p> -->",
+            "svg": "<svg width=1><text>no</text></svg>", "a": f"<a href=\"x>y\" title='<p>'>{inner}</a>",
+        }.get(kind, f"<{kind} class=x>{inner}</{kind}>")
+
+    for _ in range(300):
+        page = "".join(node(4) for _ in range(5))
+        assert warc.plain_text(page) == brute.page_text(page)
+
+
+def test_warc_of_awkward_records(spark):
+    import gzip
+
+    ok = warc.record([("WARC-Type", "response"), ("X-Long", "y" * 9000), ("WARC-Record-ID", "<a>")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + (lambda z: b"%x\r\n" % len(z) + z + b"\r\n0\r\n\r\n")(gzip.compress(b"<p>hi")))
+    late = warc.record([("X-Long", "y" * 9000), ("WARC-Type", "Response"), ("WARC-Record-ID", "<b>")], b"HTTP/1.1 200 OK\r\n\r\n<p>late")
+    bad = [
+        None, b"", b"junk", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nx", b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\nx",
+        warc.record([("WARC-Type", "response")], b"x"), warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<c>")], b"WARC-Type: response\r\n"),
+    ]
+    rows = [(i, r) for i, r in enumerate([*bad, ok, late, late])]
+    out = warc.derivatives(spark.createDataFrame(rows, "page long, record binary")).collect()
+    assert [r["page"] for r in out] == [8, 9, 10] and out[1]["metadata"] == out[2]["metadata"]
+    texts = [warc.parse(bytes(r["conversion"])) for r in out]
+    assert [b.decode() for _, b in texts] == ["hi", "late", "late"] and texts[0][0]["warc-refers-to"] == "<a>"
+    assert "http-header-content-encoding: gzip" in warc.parse(bytes(out[0]["metadata"]))[1].decode()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
