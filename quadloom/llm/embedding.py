@@ -31,7 +31,7 @@ COSINE, DIRECTIONS, BLOCK, LEAF = 0.98, 4, 512, 64
 
 
 def _clean(rows: DataFrame) -> DataFrame:
-    """rows(id, label, vector) -> (id, label, dim, d1, d2, raw): those that can link, with a digest and the bytes."""
+    """rows(id, label, vector) -> (id, label, dim, d1, d2, raw): a digest and the bytes of those that can link, nulls for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,46 +42,49 @@ def _clean(rows: DataFrame) -> DataFrame:
             values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
             bad |= ~np.isfinite(values)
             here, there = np.asarray(vectors.is_valid()), np.asarray(labels.is_valid()) & np.asarray(ids.is_valid())
-            keep, dim, d1, d2, raw = [], [], [], [], []
-            for i in np.flatnonzero(here & there):
+            cols: list[list] = [[None] * batch.num_rows for _ in range(4)]
+            for i in np.flatnonzero(here & there).tolist():
                 v = values[lists[i] : lists[i + 1]]
                 if len(v) and not bad[lists[i] : lists[i + 1]].any() and v.any():
                     blob = v.tobytes()
                     digest = hashlib.blake2b(blob, digest_size=16).digest()
-                    keep.append(i)
-                    dim.append(len(v))
-                    d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    raw.append(blob)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), labels.take(at), pa.array(dim, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(raw, pa.binary())], ["id", "label", "dim", "d1", "d2", "raw"])
+                    for col, x in zip(cols, (len(v), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), blob), strict=True):
+                        col[i] = x
+            yield pa.RecordBatch.from_arrays([ids, labels, *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True))], ["id", "label", "dim", "d1", "d2", "raw"])
 
     return rows.mapInArrow(run, "id long, label long, dim int, d1 long, d2 long, raw binary")
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """The rows times a power of two each, which brings the largest component near 1 and rounds nothing: cosines neither overflow nor vanish."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _units(raw: list[bytes], dim: int) -> np.ndarray:
-    m = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m = _scaled(np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim))
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def principal(classes: DataFrame, directions: int) -> dict[int, np.ndarray]:
-    """For each vector length, its leading principal directions; a task sends one moment matrix for each length."""
+    """For each vector length, its leading principal directions, from sums of moments."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moments: dict[int, np.ndarray] = {}
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             raw = batch.column("raw").to_pylist()
             for d in np.unique(dims).tolist():
                 u = _units([raw[i] for i in np.flatnonzero(dims == d)], d)
                 u = np.hstack([u, np.ones((len(u), 1))])
-                moments[d] = moments.get(d, 0) + u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(list(moments), pa.int32()), pa.array([m.tobytes() for m in moments.values()], pa.binary())], ["dim", "moments"])
+                found[d] = found.get(d, 0) + u.T @ u
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([m.tobytes() for m in found.values()], pa.binary())], ["dim", "moments"])
+
+    def both(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        return {d: a.get(d, 0) + b.get(d, 0) for d in a.keys() | b.keys()}
 
-    total: dict[int, np.ndarray] = {}
-    for dim, blob in classes.select("dim", "raw").mapInArrow(run, "dim int, moments binary").toLocalIterator():
-        total[dim] = total.get(dim, 0) + np.frombuffer(blob, np.float64).reshape(dim + 1, dim + 1)
+    # summed on the executors: the driver gets one matrix for each length
+    sent = classes.select("dim", "raw").mapInArrow(moments, "dim int, moments binary").rdd
+    total = sent.map(lambda r: {r[0]: np.frombuffer(r[1], np.float64).reshape(r[0] + 1, r[0] + 1)}).treeAggregate({}, both, both)
     out = {}
     for dim, m in total.items():
         n = m[-1, -1]
@@ -147,11 +150,14 @@ def links(rows: DataFrame, cosine: float = COSINE, directions: int = DIRECTIONS,
     Only vectors of one label and one length are compared.  A null vector,
     label or id, an empty or zero vector, and one with a null or a non-finite
     component link with nothing: no links, their own id as component.  Repeated
-    rows are vectors of their own, and link.
+    rows are vectors of their own, and link; rows that share an id but not the
+    vector have links and components of their own.
     """
     epsilon = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     clean = stored(_clean(rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "vector")), "vectors")
-    classes = stored(clean.groupBy("label", "dim", "d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("raw").alias("raw")), "classes")
+    alike = clean.where("dim IS NOT NULL").groupBy("label", "dim", "d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    # a class is known by a hash of its label and its vector's 128 bits
+    classes = stored(alike.withColumn("id", F.xxhash64("label", "dim", "d1", "d2")), "classes")
     axes = principal(classes, directions)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +221,7 @@ def links(rows: DataFrame, cosine: float = COSINE, directions: int = DIRECTIONS,
             for row in batch.to_pylist():
                 sides = []
                 for s in "ab":
-                    m = np.frombuffer(row[f"{s}_raws"], np.float64).reshape(-1, row["dim"])
+                    m = _scaled(np.frombuffer(row[f"{s}_raws"], np.float64).reshape(-1, row["dim"]))
                     sides.append({
                         "id": np.frombuffer(row[f"{s}_ids"], np.int64), "weight": np.frombuffer(row[f"{s}_weights"], np.int64),
                         "m": m, "norm": np.sqrt((m * m).sum(axis=1)), "at": np.frombuffer(row[f"{s}_places"], np.float64).reshape(len(m), -1),
@@ -228,11 +234,11 @@ def links(rows: DataFrame, cosine: float = COSINE, directions: int = DIRECTIONS,
     found = stored(work.mapInArrow(compare, "id long, n long, to long"), "links")
     joined = components(found.selectExpr("id AS a", "to AS b"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    per_class = classes.select("label", "dim", "d1", "d2", "id", "weight").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    per_class = per_class.select("label", "dim", "d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    members = clean.select("id", "label", "dim", "d1", "d2").join(per_class, ["label", "dim", "d1", "d2"]).groupBy("id", "label").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    base = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
-    out = base.join(members, ["id", "label"], "left")
+    named = classes.select("label", "dim", "d1", "d2", "id", "least", "weight").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "id")), "named")
+    smallest = named.where("n IS NOT NULL").groupBy("component").agg(F.min("least").alias("first"))
+    per_class = named.join(smallest, "component", "left").select("label", "dim", "d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
+    out = clean.select("id", "label", "dim", "d1", "d2").join(per_class, ["label", "dim", "d1", "d2"], "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 

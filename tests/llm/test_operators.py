@@ -493,6 +493,18 @@ def test_embeddings(spark):
     assert embedding.digests(df.where("false")).count() == 0
 
 
+def test_embeddings_that_share_an_id_and_extreme_ones(spark):
+    rows = [
+        (5, 0, [1.0, 0.0]), (5, 0, [0.0, 1.0]), (6, 0, [1.0, 0.001]), (3, 0, [0.001, 1.0]), (5, 0, [0.0, 1.0]),
+        (20, 1, [1e200, 1e198]), (21, 1, [1e-200, 1e-202]), (22, 1, [1e300, 0.0]), (23, 1, [-1e-300, 0.0]), (24, 1, [5e-324, 0.0]),
+    ]
+    found = sorted(tuple(r) for r in embedding.digests(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect())
+    assert found == [
+        (3, 2, 3, True), (5, 1, 5, True), (5, 2, 3, False), (5, 2, 3, False), (6, 1, 5, False),
+        (20, 3, 20, True), (21, 3, 20, False), (22, 3, 20, False), (23, 0, 23, True), (24, 3, 20, False),
+    ]
+
+
 def test_warc(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><p>a &amp; b<p>c<br>d <!-- x --><script>var y='</p>';</script><b>e</b>f</body>"
     rows = [(1, "http://a/", page), (2, None, None), (3, "http://b/\r\nx", ""), (3, "http://b/\r\nx", "")]
