@@ -213,6 +213,25 @@ def test_sharding_splits_a_text_with_many_copies(spark):
     assert len(sizes) == 24 and max(sizes) - min(sizes) < 60
 
 
+def test_sharding_with_many_ranges_against_plain(spark):
+    """More ranges than the least number, a text that fills many of them, and each column of the contract."""
+    rows = [(i, "x" * 40 if i % 3 == 0 else None if i % 101 == 0 else f"text \u00e9 {i % 977} " * (1 + i % 5)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = sharding.shard(df, 24, target=400).select("_placed.*", "row.*").collect()
+    assert len({r["range"] for r in placed}) > 192
+    by = {}
+    for r in placed:
+        by.setdefault(r["shard"], []).append(r)
+        assert r["size"] == len((r["text"] or "").encode()) + 8
+    assert sorted(((r["doc_id"], r["text"]) for r in placed), key=repr) == sorted(rows, key=repr)
+    sizes = [sum(r["size"] for r in by[k]) for k in range(24)]
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in placed)
+    for rs in by.values():
+        assert sorted(r["slot"] for r in rs) == list(range(len(rs)))
+    crc = {r["doc_id"]: r["text_crc32"] for r in sharding.digests(df).collect()}
+    assert crc == {d: zlib.crc32((t or "").encode()) for d, t in rows}
+
+
 def test_bpe(docs, none):
     import tiktoken
     import public_tokenizers as P
