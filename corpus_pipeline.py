@@ -16,8 +16,8 @@ from quadloom.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose ledger passes the current policy."""
-    return quality.keep(docs)
+    """Documents whose ledger passes the current policy; its words are learned from the labels beside the table."""
+    return quality.keep(docs, quality.toxic_words(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 Every rule is evaluated once for a text.  The ledger keeps one failure bit per
 rule and the measurements behind it; a policy is a named, versioned mask over
-these bits, so a verdict, a changed policy or an ablation never reads a text
-again.
+these bits, so a verdict, a changed policy or an ablation reads the stored ledger
+and never a text again.
+
+The words of the toxicity rule are learned: those that are much commoner in
+documents labelled toxic than in others, from a bounded sample of labels.
 """
 
 from __future__ import annotations
@@ -15,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Block, blocks, bounded_batches, span_hash
+from .common import BYTE_VALUES, Block, blocks, bounded_batches, span_hash, stored
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_insults")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_toxic")
 
 #: rule -> SQL over the measurements that is true where the rule fails; the order gives the bit
 RULES = {
@@ -25,19 +28,19 @@ RULES = {
     "repeats": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
-    "insults": "n_insults >= 2",
+    "dup_lines": "10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 2",
+    "toxic": "n_toxic >= 2 AND 100 * n_toxic >= n_words",
 }
 BITS = {name: 1 << i for i, name in enumerate(RULES)}
 
 #: policies by version: the rules of which none may fail
 POLICIES = {
     "base": ("few_words", "repeats"),
-    "v1": ("few_words", "repeats", "symbols", "word_length", "dup_lines", "insults"),
+    "v1": ("few_words", "repeats", "symbols", "word_length", "dup_lines", "toxic"),
 }
 
-#: Words that only insult; two different ones in a text fail the rule.
-INSULTS = ("idiot", "idiots", "moron", "morons", "loser", "losers", "scum", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "bastard", "asshole", "bitch")
+#: labelled rows that the words are learned from, the smallest ids; toxic documents that a word must be in; how much commoner it must be there
+LABELLED, LEAST, RATIO = 20_000, 3, 30
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -49,13 +52,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
-    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
-    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-    return np.sort(Block(np.concatenate(data), offsets, 0, _LETTER_SEP).hashes)
+def toxic_words(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, least: int = LEAST, ratio: int = RATIO) -> list[str]:
+    """Words, in lower case as far as A to Z go, that mark toxic documents; none where no label is toxic.
 
+    Null labels are no labels, of several for an id the largest counts, of
+    several texts for an id each counts.
+    """
+    chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").alias("_toxic")).orderBy("_of").limit(labelled)
+    letters = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # the broadcast side has ``labelled`` rows at most
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_of")).select("_toxic", F.array_distinct(F.regexp_extract_all(letters, F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))).alias("words"))
+    t, c = (x or 0 for x in texts.agg(F.count_if(F.col("_toxic") == 1), F.count_if(F.col("_toxic") != 1)).first())
+    words = texts.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") != 1).alias("c"))
+    return sorted(r["word"] for r in words.where((F.col("t") >= least) & (F.col("t") * c >= F.col("c") * (ratio * t))).select("word").collect())
 
-_INSULTS = _word_hashes(INSULTS)
+
+def _word_hashes(words: list[str]) -> np.ndarray:
+    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+    return np.sort(Block(np.concatenate([np.empty(0, np.uint8), *data]), offsets, 0, _LETTER_SEP).hashes)
 
 
 def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +82,8 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, new, np.cumsum(new) - 1
 
 
-def measure(b: Block) -> dict[str, np.ndarray]:
-    """The measurements of each row of a block."""
+def measure(b: Block, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """The measurements of each row of a block; ``toxic`` are the sorted hashes of the learned words."""
     at = lambda flags: (c := np.concatenate([[0], np.cumsum(flags)]))[b.offsets[1:]] - c[b.offsets[:-1]]
     in_word = np.zeros(len(b.data) + 1, np.int8)
     in_word[b.starts] += 1
@@ -99,13 +114,11 @@ def measure(b: Block) -> dict[str, np.ndarray]:
     out["n_repeat_words"] = b.per_doc(covered[: len(b.starts)])
 
     letters = Block(_LOWER[b.data], b.offsets, b.first, _LETTER_SEP)
-    hit = np.flatnonzero(np.isin(letters.hashes, _INSULTS))
-    pairs = np.unique(np.stack([letters.doc[hit], np.searchsorted(_INSULTS, letters.hashes[hit])]), axis=1)
-    out["n_insults"] = np.bincount(pairs[0], minlength=b.n)
+    out["n_toxic"] = np.bincount(letters.doc[np.isin(letters.hashes, toxic)], minlength=b.n)
     return out
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     """(row, the measurements, failed): each input row in a struct with its ledger entry beside it.
 
     A null or empty text has no words and so fails ``few_words``.  Repeated rows
@@ -115,10 +128,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
+    toxic = _word_hashes(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure(b) for b in blocks(batch.column(1))]
+            parts = [measure(b, toxic) for b in blocks(batch.column(1))]
             cols = [pa.array(np.concatenate([p[m] for p in parts]).astype(np.int64) if parts else np.empty(0, np.int64)) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", *MEASURES])
 
@@ -155,15 +169,20 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def verdicts(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The contract's columns for documents(doc_id, text), and the ledger's bits."""
-    entries = ledger(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+def book(docs: DataFrame, words: list[str]) -> DataFrame:
+    """The ledger of documents(doc_id, text) as a stored table: an entry for each row, without its text."""
+    entries = ledger(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    return stored(entries.select("row.doc_id", *MEASURES, "failed"), "ledger")
+
+
+def verdicts(entries: DataFrame, policy: str = "v1") -> DataFrame:
+    """The contract's columns, and the ledger's bits, from a ledger."""
     return entries.select(
-        "row.doc_id", *MEASURES[:5], (~passes("base")).alias("base_failed"), passes(policy).alias("kept"),
-        F.col("failed").alias("failed_bits"), "n_lines", "n_insults",
+        "doc_id", *MEASURES[:5], (~passes("base")).alias("base_failed"), passes(policy).alias("kept"),
+        F.col("failed").alias("failed_bits"), "n_lines", "n_toxic",
     )
 
 
-def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs whose text passes the policy, unchanged."""
-    return ledger(docs).where(passes(policy)).select("row.*")
+def keep(docs: DataFrame, words: list[str], policy: str = "v1") -> DataFrame:
+    """The rows of docs whose text passes the policy, unchanged; entry and row are together, so the ledger is not stored."""
+    return ledger(docs, words).where(passes(policy)).select("row.*")

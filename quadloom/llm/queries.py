@@ -9,7 +9,14 @@ from .common import table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.verdicts(quality.book(docs, quality.toxic_words(docs, table(spark, sf_dir, "labels"))))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does, from the stored ledger."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.ablations(quality.book(docs, quality.toxic_words(docs, table(spark, sf_dir, "labels"))))
 
 
 OP3_SQL = r"""
@@ -25,26 +32,38 @@ t3 AS (
   FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 r3 AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS n FROM t3 WHERE k IS NOT NULL),
 rep AS (SELECT doc_id, count(DISTINCT p + i) AS n_repeat_words FROM r3, range(0, 3) AS s(i) WHERE n > 1 GROUP BY doc_id),
+a AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d),
+lab AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id ORDER BY doc_id LIMIT LABELLED),
+lt AS (SELECT toxic, list_distinct(regexp_extract_all(low, '[a-z\x{80}-\x{10FFFF}]+')) AS ws FROM a JOIN lab USING (doc_id)),
+lw AS (SELECT word, count(*) FILTER (WHERE toxic = 1) AS t, count(*) FILTER (WHERE toxic <> 1) AS c FROM (SELECT toxic, unnest(ws) AS word FROM lt) AS z GROUP BY word),
+lex AS (
+  SELECT word FROM lw, (SELECT count(*) FILTER (WHERE toxic = 1) AS nt, count(*) FILTER (WHERE toxic <> 1) AS nc FROM lt) AS n
+  WHERE t >= LEAST_N AND t * nc >= c * RATIO_N * nt),
 bad AS (
-  SELECT doc_id, count(DISTINCT x) AS n_insults
-  FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[A-Z]+', '', 'g') || ' ' || lower(text), '[a-z\x{80}-\x{10FFFF}]+')) AS x FROM d) AS y
-  WHERE x IN (INSULTS) GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n_toxic
+  FROM (SELECT doc_id, unnest(regexp_extract_all(low, '[a-z\x{80}-\x{10FFFF}]+')) AS x FROM a) AS y
+  WHERE x IN (SELECT word FROM lex) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_insults, 0)::BIGINT AS n_insults
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_toxic, 0)::BIGINT AS n_toxic
   FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN bad USING (doc_id)),
 b AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
-    + 8 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 16 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
-    + 32 * (n_insults >= 2)::BIGINT AS failed_bits FROM m)
+    + 8 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT + 16 * (10 * n_dup_lines > 3 * n_lines AND n_dup_lines > 2)::BIGINT
+    + 32 * (n_toxic >= 2 AND 100 * n_toxic >= n_words)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept,
-  failed_bits, n_lines, n_insults FROM b
+  failed_bits, n_lines, n_toxic FROM b
+"""
+for _name, _value in (("LABELLED", quality.LABELLED), ("LEAST_N", quality.LEAST), ("RATIO_N", quality.RATIO)):
+    OP3_SQL = OP3_SQL.replace(_name, str(_value))
+ABLATIONS_SQL = f"""
+WITH v AS ({OP3_SQL}), r AS (SELECT unnest({list(quality.BITS)}) AS rule, unnest({list(quality.BITS.values())}) AS bit)
+SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE failed_bits = bit)::BIGINT AS n_alone,
+  count(*) FILTER (WHERE failed_bits & ~bit = 0)::BIGINT AS n_kept_without
+FROM v, r GROUP BY rule
 """
-OP3_SQL = OP3_SQL.replace("INSULTS", ", ".join(f"'{w}'" for w in quality.INSULTS)).replace(
-    r"regexp_replace(text, '[A-Z]+', '', 'g') || ' ' || lower(text)", r"translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +149,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_rules": op3_quality_rules,
+    "quality_ablations": quality_ablations,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_sharding": op5_sharding,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -141,5 +161,6 @@ QUERIES = {
 ORACLES = {
     "op2_chat_formatting": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
+    "quality_ablations": ABLATIONS_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
 }

@@ -106,17 +106,39 @@ def test_substring_decides_by_trees(spark, docs):
 
 
 def test_quality(docs, none):
-    found = sorted(((x["doc_id"], *(x[m] for m in quality.MEASURES[:5]), x["base_failed"]) for x in quality.verdicts(docs).collect()), key=repr)
+    entries = quality.book(docs, ["w1"])
+    found = sorted(((x["doc_id"], *(x[m] for m in quality.MEASURES[:5]), x["base_failed"]) for x in quality.verdicts(entries).collect()), key=repr)
     plain = [(d, *(q := brute.quality(t)), q[0] < 50 or 100 * q[4] > 50 * q[0]) for d, t in TEXTS]
     assert found == sorted(plain, key=repr)
-    assert quality.verdicts(none).count() == 0
-    assert quality.keep(docs).columns == docs.columns
-    entries = quality.verdicts(docs).select(F.col("failed_bits").alias("failed"))
+    assert quality.verdicts(quality.book(none, [])).count() == 0
+    assert quality.keep(docs, []).columns == docs.columns
     table = {x["rule"]: x for x in quality.ablations(entries).collect()}
     bits = [x["failed"] for x in entries.collect()]
     for rule, bit in quality.BITS.items():
         assert table[rule]["n_failed"] == sum(1 for b in bits if b & bit)
         assert table[rule]["n_alone"] == sum(1 for b in bits if b == bit)
+        assert table[rule]["n_kept_without"] == sum(1 for b in bits if not b & ~bit)
+
+
+def test_quality_learns_toxic_words(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 8 == 0
+        w = [rng.choice(WORDS) for _ in range(80)]
+        for _ in range(4 if toxic else 0):
+            w[rng.randrange(80)] = rng.choice(["Rotzig!", "\u00e9puant", "vil"])
+        rows.append((i, " ".join(w)))
+        if i < 300:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([*labels, (None, 1, 1), (350, 1, None), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    words = quality.toxic_words(docs, known)
+    assert {"rotzig", "\u00e9puant", "vil"} <= set(words) and len(words) < 10
+    failed = {r["doc_id"] for r in quality.book(docs, words).where(F.col("failed").bitwiseAND(quality.BITS["toxic"]) != 0).collect()}
+    # those without a label too
+    assert failed == {i for i in range(400) if i % 8 == 0}
+    assert quality.toxic_words(docs, known.where("false")) == []
 
 
 def test_near_duplicates(spark, docs, none):
@@ -589,9 +611,10 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     d = [(i, prose(200)) for i in range(30)]
-    d += [(100 + i, d[i][1]) for i in range(5)] + [(200, "short"), (201, "idiot moron " + prose(100))] + [(300, prose(60) + " " + " ".join(d[3][1].split()[20:90]) + " " + prose(60))]
+    d += [(100 + i, d[i][1]) for i in range(5)] + [(200, "short"), *((201 + i, f"idiot moron {prose(100)}") for i in range(4))] + [(300, prose(60) + " " + " ".join(d[3][1].split()[20:90]) + " " + prose(60))]
     path = str(tmp_path)
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in d], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(201 <= i < 204)) for i, _ in d if i != 204], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     r = corpus_pipeline.run(spark, path).collect()
     assert {x["doc_id"] for x in r} == {*range(30), 300}
     kept = [(i, t) for i, t in d if i < 30 or i == 300]
