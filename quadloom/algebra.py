@@ -137,6 +137,14 @@ class PropertyFunction(Pattern):
     objects: tuple[object, ...]
 
 
+@dataclass(frozen=True, eq=False)
+class Given(Pattern):
+    """Solutions that are known already, as a frame with these variables."""
+
+    names: tuple[Var, ...]
+    frame: object
+
+
 # paths
 @dataclass(frozen=True)
 class Link:
@@ -267,7 +275,7 @@ def variables(p: object) -> list[Var]:
             case Extend(inner, var, _):
                 go(inner)
                 seen[var] = None
-            case Values(vs, _):
+            case Values(vs, _) | Given(vs, _):
                 seen.update(dict.fromkeys(vs))
             case Project(_, vs):
                 seen.update(dict.fromkeys(vs))

@@ -70,6 +70,14 @@ class Dataset:
 
         return cls.of_quads(readers.read(spark, path, media), **more)
 
+    def stored(self) -> Dataset:
+        """The same dataset, written by predicate and measured, so that constant predicates prune files and joins begin with the smallest."""
+        from .storage import by_predicate
+
+        out = self.with_quads(by_predicate(self.quads))
+        out.source.measure()
+        return out
+
     def with_quads(self, quads: DataFrame) -> Dataset:
         return Dataset(self.spark, QuadSource(quads), self.functions, self.aggregates, self.relations, self.service, self.resolver)
 

@@ -254,3 +254,21 @@ def unify(a: Val, b: Val) -> tuple[Val, Val]:
         return Val("iri", text_of(a)), Val("iri", text_of(b))
     return term(a), term(b)
 
+
+def well_formed(v: Val, iri: str) -> Column:
+    """Whether a lexical form belongs to its datatype."""
+    name = iri.rsplit("#", 1)[-1]
+    lex = lexical(v.col)
+    if name in ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger"):
+        return lex.rlike(r"^[+-]?\d+$")
+    if name == "decimal":
+        return lex.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$")
+    if name in ("double", "float"):
+        return lex.rlike(r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$")
+    if name == "boolean":
+        return lex.isin("true", "false", "1", "0")
+    if name == "date":
+        return lex.rlike(r"^-?\d{4,}-\d\d-\d\d(Z|[+-]\d\d:\d\d)?$")
+    if name == "dateTime":
+        return lex.rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$")
+    return F.lit(True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import algebra as A
 from ..functions import builtins as B
 from ..functions.values import Val, as_double, boolean, code, constant, is_kind, null, text_of, tier, truth
+from ..storage import materialise
 from ..terms import IRI, RS, Blank, Triple, Var, encode
 from . import aggregates, paths
 from . import frame as R
@@ -126,6 +127,8 @@ def compile(p: A.Pattern, ctx: Context) -> Frame:
             return service(p, ctx, None)
         case A.Values(vs, rows):
             return values(vs, rows, ctx)
+        case A.Given(_, frame):
+            return R.renamed(frame)
         case A.OrderBy(inner, keys):
             return order_by(compile(inner, ctx), keys, ctx)
         case A.Project(inner, vs):
@@ -184,6 +187,10 @@ def bgp(triples: tuple, ctx: Context) -> Frame:
     for t in triples:
         o = t.o
         s = t.s
+        if isinstance(s, Triple) and not ground(s):
+            v = Var(R.fresh(".triple"))
+            nested.append((v.name, s))
+            s = v
         if isinstance(o, Triple) and not ground(o):
             v = Var(R.fresh(".triple"))
             nested.append((v.name, o))
@@ -232,9 +239,50 @@ def _inner(p: A.Pattern, outer: set[str]) -> tuple[A.Pattern, list[object]]:
     return p, hoisted
 
 
+def _with_outer(p: A.Pattern, f: Frame) -> A.Pattern:
+    """An EXISTS pattern whose nested groups have the outer variables that they look at joined in.
+
+    A filter, a condition of OPTIONAL or an assignment inside may use a variable
+    that only the outer solutions bind.  These values, each combination once,
+    become solutions of the group, and the join with the outer solutions
+    compares them again.
+    """
+
+    def given(missing: set[str], inner: A.Pattern) -> A.Pattern:
+        if not missing:
+            return inner
+        names = sorted(missing)
+        seed = A.Given(tuple(map(Var, names)), R.distinct(R.project(replace(f, order=[]), names)))
+        return seed if inner == A.BGP(()) else A.Join(inner, seed)
+
+    def missing(e: object, *inner: A.Pattern) -> set[str]:
+        return (free(e) & set(f.slots)) - {v.name for x in inner for v in A.variables(x)}
+
+    def go(p: A.Pattern) -> A.Pattern:
+        match p:
+            case A.Filter(c, inner):
+                inner = go(inner)
+                return A.Filter(c, given(missing(c, inner), inner))
+            case A.LeftJoin(a, b, c):
+                a, b = go(a), go(b)
+                return A.LeftJoin(given(missing(c, a, b), a) if c is not None else a, b, c)
+            case A.Extend(inner, v, e):
+                inner = go(inner)
+                return A.Extend(given(missing(e, inner), inner), v, e)
+            case A.Join(a, b) | A.Union(a, b) | A.Minus(a, b) | A.Lateral(a, b):
+                return type(p)(go(a), go(b))
+            case A.Graph(name, inner):
+                return A.Graph(name, go(inner))
+            case A.Distinct(inner) | A.Reduced(inner):
+                return type(p)(go(inner))
+        return p
+
+    return go(p)
+
+
 def exists(f: Frame, p: A.Pattern, ctx: Context, anti: bool) -> Frame:
     p, hoisted = _inner(p, set(f.slots))
-    inner = compile(p, ctx)
+    inner = compile(_with_outer(p, f), ctx)
     make = None
     if hoisted:
         make = lambda values: reduce(lambda a, b: a & b, [truth(expression(h, values, ctx)) for h in hoisted])
@@ -242,14 +290,10 @@ def exists(f: Frame, p: A.Pattern, ctx: Context, anti: bool) -> Frame:
 
 
 def exists_flag(f: Frame, p: A.Pattern, ctx: Context) -> tuple[Frame, Val]:
-    """The frame with a column that tells whether each solution has a match."""
-    row = R.fresh("row")
-    marked = replace(f, df=f.df.withColumn(row, F.monotonically_increasing_id()))
-    hit = exists(marked, p, ctx, anti=False)
+    """The frame with a column that tells whether each solution has a match: those that have one, and those that have none."""
     flag = R.fresh("flag")
-    known = hit.df.select(F.col(row).alias(row + "_h"), F.lit(True).alias(flag))
-    df = marked.df.join(known, F.col(row) == F.col(row + "_h"), "left").drop(row, row + "_h")
-    return replace(f, df=df), boolean(F.coalesce(F.col(flag), F.lit(False)))
+    parts = [exists(f, p, ctx, anti).df.withColumn(flag, F.lit(not anti)) for anti in (False, True)]
+    return replace(f, df=parts[0].unionByName(parts[1])), boolean(F.col(flag))
 
 
 def extend(f: Frame, name: str, e: object, ctx: Context) -> Frame:
@@ -338,6 +382,8 @@ def lateral(left: Frame, p: A.Pattern, ctx: Context) -> Frame:
         return f
     row = R.fresh(".row")
     base = R.build(left.df, {n: left.val(n) for n in left.slots} | {row: Val("int", F.monotonically_increasing_id())}, {n: s.certain for n, s in left.slots.items()})
+    # the rows' numbers are met twice, so they are written
+    base = replace(base, df=materialise(base.df))
     # only what a projection shows is injected
     hidden: set[str] = set()
     for x in steps:

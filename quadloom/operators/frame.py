@@ -123,6 +123,23 @@ def _merged(a: Frame, b: Frame, joined: DataFrame, b_certain: bool, keep: list[s
     return out
 
 
+def _part(f: Frame, n: str, bound: bool) -> Frame:
+    """The solutions that bind a variable, or those that do not, which then lack it."""
+    c = F.col(f.columns_of(n)[0])
+    if bound:
+        return f if f.slots[n].certain else replace(f, df=f.df.where(c.isNotNull()), slots={k: replace(s, certain=True) if k == n else s for k, s in f.slots.items()})
+    return replace(f, df=f.df.where(c.isNull()), slots={k: s for k, s in f.slots.items() if k != n})
+
+
+def _unsure(a: Frame, b: Frame) -> str | None:
+    """A shared variable that some solution may not bind."""
+    return next((n for n in shared(a, b) if not (a.slots[n].certain and b.slots[n].certain)), None)
+
+
+def _sides(f: Frame, n: str) -> list[Frame]:
+    return [_part(f, n, True)] + ([] if f.slots[n].certain else [_part(f, n, False)])
+
+
 def join(a: Frame, b: Frame) -> Frame:
     """Compatible solutions.
 
@@ -130,62 +147,94 @@ def join(a: Frame, b: Frame) -> Frame:
     side is handled by parts, so that each part is an equi-join too: both bound,
     and either unbound.
     """
-    b = renamed(b)
-    names = shared(a, b)
-    unsure = [n for n in names if not (a.slots[n].certain and b.slots[n].certain)]
-    if not unsure or len(unsure) > 2:
+    return _join(a, renamed(b), None)
+
+
+def _join(a: Frame, b: Frame, condition) -> Frame:
+    n = _unsure(a, b)
+    if n is None:
         cond, _ = match(a, b)
-        joined = a.df.join(b.df, cond) if names else a.df.crossJoin(b.df)
+        if condition is not None:
+            cond = cond & condition(_values(a, b))
+        joined = a.df.join(b.df, cond) if shared(a, b) or condition is not None else a.df.crossJoin(b.df)
         return _merged(a, b, joined, True)
-    n = unsure[0]
-    parts: list[Frame] = []
-    a_sure, b_sure = a.slots[n].certain, b.slots[n].certain
-    mark = lambda f, bound: replace(f, df=f.df.where(F.col(f.columns_of(n)[0]).isNotNull() if bound else F.col(f.columns_of(n)[0]).isNull()), slots={k: replace(s, certain=True) if k == n and bound else s for k, s in f.slots.items()})
-    parts.append(join(mark(a, True), mark(b, True)))
-    drop = lambda f: replace(mark(f, False), slots={k: s for k, s in f.slots.items() if k != n})
-    if not a_sure:
-        parts.append(join(drop(a), b))
-    if not b_sure:
-        parts.append(join(mark(a, True) if not a_sure else a, drop(b)))
+    with_, without = _part(b, n, True), None if b.slots[n].certain else _part(b, n, False)
+    parts = [_join(_part(a, n, True), with_, condition)]
+    if not a.slots[n].certain:
+        parts.append(_join(_part(a, n, False), b, condition))
+    if without is not None:
+        parts.append(_join(_part(a, n, True), without, condition))
     return reduce(union, parts)
 
 
+def _values(a: Frame, b: Frame) -> dict[str, Val]:
+    """What a condition over a pair of solutions sees."""
+    values = {n: a.val(n) for n in a.slots}
+    for n in b.slots:
+        if n not in values:
+            values[n] = b.val(n)
+        elif not a.slots[n].certain:
+            x, y = unify(values[n], b.val(n))
+            values[n] = replace(x, col=F.coalesce(x.col, y.col))
+    return values
+
+
 def left_join(a: Frame, b: Frame, condition) -> Frame:
     """OPTIONAL; ``condition`` makes a column of the merged values, or is None."""
     b = renamed(b)
-    cond, _ = match(a, b)
-    if condition is not None:
-        values = {n: a.val(n) for n in a.slots}
-        for n in b.slots:
-            if n not in values:
-                values[n] = b.val(n)
-            elif not a.slots[n].certain:
-                x, y = unify(values[n], b.val(n))
-                values[n] = replace(x, col=F.coalesce(x.col, y.col))
-        cond = cond & condition(values)
-    return _merged(a, b, a.df.join(b.df, cond, "left"), False)
+    if _unsure(a, b) is None:
+        cond, _ = match(a, b)
+        if condition is not None:
+            cond = cond & condition(_values(a, b))
+        return _merged(a, b, a.df.join(b.df, cond, "left"), False)
+    # by parts: the pairs, and the solutions without one
+    return union(_join(a, b, condition), replace(semi(a, b, condition, anti=True), order=[]))
 
 
 def semi(a: Frame, b: Frame, condition=None, anti: bool = False) -> Frame:
-    """EXISTS and NOT EXISTS."""
-    b = renamed(b)
-    cond, _ = match(a, b)
-    if condition is not None:
-        cond = cond & condition({**{n: b.val(n) for n in b.slots}, **{n: a.val(n) for n in a.slots}})
-    return Frame(a.df.join(b.df, cond, "left_anti" if anti else "left_semi"), a.slots, a.order)
+    """EXISTS and NOT EXISTS; a variable that may be unbound is handled by parts, as in a join."""
+    kept, parts = _match_parts(a, renamed(b), condition)
+    return Frame(kept, a.slots, a.order) if anti else Frame(reduce(DataFrame.unionByName, parts), a.slots, a.order)
+
+
+def _match_parts(a: Frame, b: Frame, condition) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of a without a match in b, and those with one, in parts without overlap."""
+    n = _unsure(a, b)
+    if n is None:
+        cond, _ = match(a, b)
+        if condition is not None:
+            cond = cond & condition(_values(a, b))
+        # without a variable to compare, one solution is as good as all
+        right = b.df if shared(a, b) or condition is not None else b.df.limit(1)
+        return a.df.join(right, cond, "left_anti"), [a.df.join(right, cond, "left_semi")]
+    rest, found = [], []
+    for side in _sides(a, n):
+        # what the bound part of b does not match meets the unbound one
+        for other in _sides(b, n) if n in side.slots else [b]:
+            left, hits = _match_parts(side, renamed(other), condition)
+            side = replace(side, df=left)
+            found += hits
+        rest.append(side.df)
+    return reduce(DataFrame.unionByName, rest), found
 
 
 def minus(a: Frame, b: Frame) -> Frame:
     """MINUS: a compatible solution counts only if it shares a bound variable."""
-    names = shared(a, b)
-    if not names:
+    if not shared(a, b):
         return a
-    b = renamed(b)
-    cond, equi = match(a, b)
-    if not equi and not any(a.slots[n].certain and b.slots[n].certain for n in names):
-        both = [F.col(a.slots[n].column).isNotNull() & F.col(b.slots[n].column).isNotNull() for n in names]
-        cond = cond & reduce(lambda p, q: p | q, both)
-    return Frame(a.df.join(b.df, cond, "left_anti"), a.slots, a.order)
+    return Frame(_minus(a, renamed(b)), a.slots, a.order)
+
+
+def _minus(a: Frame, b: Frame) -> DataFrame:
+    n = _unsure(a, b)
+    if n is None:
+        return a.df.join(b.df, match(a, b)[0], "left_anti") if shared(a, b) else a.df
+    rest = []
+    for side in _sides(a, n):
+        for other in _sides(b, n) if n in side.slots else [b]:
+            side = replace(side, df=_minus(side, renamed(other)))
+        rest.append(side.df)
+    return reduce(DataFrame.unionByName, rest)
 
 
 def union(a: Frame, b: Frame) -> Frame:

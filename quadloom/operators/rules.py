@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import Val, as_double, code, is_kind
+from ..functions.values import Val, code, is_kind, well_formed
 from ..storage import materialise as write
 from ..terms import OWL, RDF, RDFS, US, XSD
 
@@ -170,22 +170,64 @@ def regime(name: str) -> list[Rule]:
 
 
 def implemented_rules(name: str) -> list[str]:
-    return [r.name for r in regime(name)] + (list(WHOLE) + ["dt-type2", "dt-eq", "dt-diff", "dt-not-type"] if name.upper() == "OWL-RL" else [])
+    return [r.name for r in regime(name)] + ([*WHOLE, "dt-not-type"] if name.upper() == "OWL-RL" else [])
 
 
 def list_members(triples: DataFrame) -> DataFrame:
-    """(list, pos, item) of every rdf:List; a list that never ends at nil is left out by its cycle's length."""
+    """(list, pos, item) of every rdf:List that ends at nil, by its first cell; lists that run into a cycle are left out.
+
+    A first cell is one that no other cell goes on to, or that something other
+    than a cell refers to.  Cells are found by jumps of 1, 2, 4 ... cells, so the
+    rounds grow with the logarithm of the longest list; a list that is still
+    going after as many cells as there are goes round in a circle.
+    """
+    nil, rest_of = "I" + RDF + "nil", "I" + RDF + "rest"
     first = triples.where(F.col("p") == "I" + RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("item"))
-    rest = write(triples.where(F.col("p") == "I" + RDF + "rest").select(F.col("s").alias("cell"), F.col("o").alias("tail")))
-    heads = write(rest.select(F.col("cell").alias("list")).distinct())
-    at = heads.select("list", F.col("list").alias("cell"), F.lit(0).alias("pos"))
-    parts, step = [at], at
-    while True:
-        step = write(step.join(rest, "cell").where(F.col("tail") != "I" + RDF + "nil").where(F.col("tail") != F.col("list")).select("list", F.col("tail").alias("cell"), (F.col("pos") + 1).alias("pos")))
-        if step.isEmpty():
+    rest = write(triples.where(F.col("p") == rest_of).select(F.col("s").alias("cell"), F.col("o").alias("tail")).distinct())
+    cells = rest.count()
+    tails = rest.select(F.col("tail").alias("cell")).distinct()
+    named = triples.where(F.col("p") != rest_of).select(F.col("o").alias("cell")).distinct()
+    some = rest.select("cell").distinct()
+    heads = some.join(tails, "cell", "left_anti").union(some.join(named, "cell", "left_semi")).distinct()
+    found = write(heads.select(F.col("cell").alias("list"), "cell", F.lit(0).cast("long").alias("pos")))
+    jump, step = rest.where(F.col("tail") != nil), 1
+    while step <= cells:
+        more = write(found.join(jump, "cell").select("list", F.col("tail").alias("cell"), (F.col("pos") + step).alias("pos")))
+        if more.isEmpty():
             break
-        parts.append(step)
-    return reduce(DataFrame.union, parts).join(first, "cell").select("list", "pos", "item")
+        found = write(found.union(more).distinct())
+        next_ = jump.select(F.col("cell").alias("tail"), F.col("tail").alias("_to"))
+        jump, step = write(jump.join(next_, "tail").select("cell", F.col("_to").alias("tail")).distinct()), 2 * step
+    # a whole list meets a cell whose rest is nil, and no cell twice
+    ends = found.join(rest.where(F.col("tail") == nil), "cell", "left_semi").select("list").distinct()
+    circles = found.groupBy("list").agg(F.max("pos").alias("last"), F.count_distinct("cell").alias("n")).where("last >= n").select("list")
+    return found.join(ends, "list", "left_semi").join(circles, "list", "left_anti").join(first, "cell").select("list", F.col("pos").cast("int").alias("pos"), "item")
+
+
+def _may_meet(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
+    """Whether some triple can be an instance of both patterns."""
+    return all(x.startswith("?") or y.startswith("?") or x == y for x, y in zip(a, b, strict=True))
+
+
+def strata(rules: list[Rule]) -> list[list[Rule]]:
+    """The rules in layers: a rule stands above all that can give what it negates.
+
+    ValueError if a rule depends on its own negation.
+    """
+    if not any(r.negated for r in rules):
+        return [rules]
+    level = dict.fromkeys(range(len(rules)), 0)
+    below = [(i, j, int(negated)) for i, r in enumerate(rules) for negated, atoms in ((False, r.body), (True, r.negated)) for j, q in enumerate(rules) if any(_may_meet(h, x) for h in q.head for x in atoms)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j, up in below:
+            if level[i] < level[j] + up:
+                level[i] = level[j] + up
+                changed = True
+                if level[i] > len(rules):
+                    raise ValueError(f"rule {rules[i].name} depends on its own negation")
+    return [[r for i, r in enumerate(rules) if level[i] == k] for k in range(max(level.values(), default=0) + 1)]
 
 
 def _relevant(rules: list[Rule], triples: DataFrame) -> list[Rule]:
@@ -295,7 +337,14 @@ def _keys(triples: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def closure(triples: DataFrame, rules: list[Rule], owl: bool = False) -> DataFrame:
-    """The closure of a table s, p, o, list members included."""
+    """The closure of a table s, p, o, list members included; with negation, layer by layer, so that what is negated is complete."""
+    layers = strata([r for r in rules if r.head])
+    for layer in layers[:-1]:
+        triples = _closure(triples, layer, owl)
+    return _closure(triples, layers[-1], owl)
+
+
+def _closure(triples: DataFrame, rules: list[Rule], owl: bool) -> DataFrame:
     triples = write(triples.select("s", "p", "o").distinct())
     lists = None
     if owl:
@@ -340,7 +389,8 @@ def clashes(quads: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     found = [df for r in _relevant(rules or OWL_RULES, triples) if not r.head for df in _apply(r, triples, triples, True)]
     # dt-not-type: a literal outside its datatype
     o = Val("term", F.col("o"))
-    bad = F.substr(F.col("o"), F.lit(1), F.lit(1)) == "L"
-    integer = F.col("o").startswith("Lx:integer") & as_double(o).isNull()
-    found.append(triples.where(bad & integer).select(F.lit("dt-not-type").alias("rule"), code(o).alias("witness")))
+    kind = F.substring_index(F.col("o"), US, 1)
+    for name in ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "decimal", "double", "float", "boolean", "date", "dateTime"):
+        bad = (kind == f"Lx:{name}") & ~well_formed(o, XSD + name)
+        found.append(triples.where(bad).select(F.lit("dt-not-type").alias("rule"), code(o).alias("witness")))
     return reduce(DataFrame.unionByName, found).distinct()

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .. import algebra as A
 from ..functions import builtins as B
-from ..functions.values import Val, constant, datatype, is_kind, language, lexical, text_of
+from ..functions.values import Val, constant, datatype, is_kind, language, lexical, text_of, well_formed
 from ..sources.quads import QuadSource
 from ..storage import materialise
-from ..terms import RDF, RDFS, Literal, decode, encode, short
+from ..terms import RDF, RDFS, Literal, Var, decode, encode, short
+from . import frame as R
 from . import paths
 
 SH = "http://www.w3.org/ns/shacl#"
@@ -91,6 +92,7 @@ class Validator:
         self.ctx = dataset.context()
         self.ctx.source = QuadSource(self.data.withColumn("g", F.lit(None).cast("string")))
         self.shapes, self.spark, self.dataset = shapes, dataset.spark, dataset
+        self.within: list[str] = []
         sub = self.data.where(F.col("p") == "I" + RDFS + "subClassOf").select(F.col("s").alias("c"), F.col("o").alias("d"))
         self.above = None if sub.isEmpty() else self._closed(sub)
 
@@ -143,12 +145,26 @@ class Validator:
     def _select(self, node: str, q: str):
         from .compiler import compile as compile_pattern
 
-        prefixes = ""
+        query = self.dataset.prepare(self.prefixes(node) + decode(q).lex)
+        return compile_pattern(query.pattern, self.ctx)
+
+    def prefixes(self, node: str) -> str:
+        out = ""
         for p in self.shapes.by.get(node, {}).get("I" + SH + "prefixes", []):
             for d in self.shapes.by.get(p, {}).get("I" + SH + "declare", []):
-                prefixes += f"PREFIX {decode(self.shapes.one(d, 'prefix')).lex}: <{decode(self.shapes.one(d, 'namespace')).lex}> "
-        query = self.dataset.prepare(prefixes + decode(q).lex)
-        return compile_pattern(query.pattern, self.ctx)
+                out += f"PREFIX {decode(self.shapes.one(d, 'prefix')).lex}: <{decode(self.shapes.one(d, 'namespace')).lex}> "
+        return out
+
+    def construct(self, node: str, q: str, focus: DataFrame) -> DataFrame:
+        """The quads of a CONSTRUCT rule, with ?this bound to each focus node."""
+        from ..dataset import instantiate
+        from .compiler import compile as compile_pattern
+
+        query = self.dataset.prepare(self.prefixes(node) + decode(q).lex)
+        this = R.build(focus, {"this": Val("term", F.col("focus"))})
+        given = A.Given((Var("this"),), this)
+        pattern = A.Join(query.pattern, given) if query.pattern != A.BGP(()) else given
+        return instantiate(compile_pattern(_given_within(pattern, given), self.ctx), query.template)
 
     # violations
     def report(self, s: Shape, found: DataFrame, component: str) -> DataFrame:
@@ -174,7 +190,7 @@ class Validator:
             out.append(self.report(s, values.groupBy("focus").agg(F.count("*").alias("n")).where(F.col("n") > number(x)).select("focus", none), "MaxCount"))
         for x in p.get("datatype", []):
             d = decode(x).value
-            bad((datatype(v) != short(d)) | ~_well_formed(v, d), "Datatype")
+            bad((datatype(v) != short(d)) | ~well_formed(v, d), "Datatype")
         for x in p.get("class", []):
             out.append(self.report(s, values.join(self.instances(x).withColumnRenamed("focus", "value"), "value", "left_anti").select("focus", "value"), "Class"))
         for x in p.get("nodeKind", []):
@@ -257,7 +273,16 @@ class Validator:
         return out
 
     def failing(self, name: str, values: DataFrame) -> DataFrame:
-        """The value nodes that do not conform to a shape, as ``value``."""
+        """The value nodes that do not conform to a shape, as ``value``; ValueError for a shape that refers to itself, which the standard leaves open."""
+        if name in self.within:
+            raise ValueError(f"recursive shape {name}")
+        self.within.append(name)
+        try:
+            return self._failing(name, values)
+        finally:
+            self.within.pop()
+
+    def _failing(self, name: str, values: DataFrame) -> DataFrame:
         nodes = values.select(F.col("value").alias("focus")).distinct()
         found = self.check(self.shapes.shapes.get(name) or self.shapes.read(name), nodes)
         if not found:
@@ -273,23 +298,19 @@ class Validator:
         return self.report(s, df, "SPARQL")
 
 
-def _well_formed(v: Val, iri: str) -> Column:
-    """Whether a lexical form belongs to its datatype."""
-    name = iri.rsplit("#", 1)[-1]
-    lex = lexical(v.col)
-    if name in ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger"):
-        return lex.rlike(r"^[+-]?\d+$")
-    if name == "decimal":
-        return lex.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$")
-    if name in ("double", "float"):
-        return lex.rlike(r"^([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[+-]?INF|NaN)$")
-    if name == "boolean":
-        return lex.isin("true", "false", "1", "0")
-    if name == "date":
-        return lex.rlike(r"^-?\d{4,}-\d\d-\d\d(Z|[+-]\d\d:\d\d)?$")
-    if name == "dateTime":
-        return lex.rlike(r"^-?\d{4,}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)?$")
-    return F.lit(True)
+def _given_within(p: A.Pattern, given: A.Given) -> A.Pattern:
+    """A pattern joined with known solutions, which its filters and assignments see too."""
+    inner = p.left if isinstance(p, A.Join) and p.right is given else None
+    steps = []
+    while isinstance(inner, A.Filter | A.Extend):
+        steps.append(inner)
+        inner = inner.inner
+    if not steps:
+        return p
+    out = A.Join(inner, given) if inner != A.BGP(()) else given
+    for x in reversed(steps):
+        out = A.Filter(x.condition, out) if isinstance(x, A.Filter) else A.Extend(out, x.var, x.expr)
+    return out
 
 
 def validate(dataset, shapes) -> DataFrame:
@@ -314,6 +335,8 @@ def rules(dataset, shapes) -> DataFrame:
     for s in read.shapes.values():
         for r in s.parameters.get("rule", []):
             order = read.one(r, "order")
+            if read.one(r, "deactivated") == encode(Literal("true", "http://www.w3.org/2001/XMLSchema#boolean")):
+                continue
             todo.append((float(decode(order).lex) if order else 0.0, s, r))
     todo.sort(key=lambda x: (x[0], x[2]))
     quads = materialise(dataset.quads)
@@ -325,8 +348,11 @@ def rules(dataset, shapes) -> DataFrame:
             focus = v.targets(s)
             if focus is None:
                 continue
+            for x in read.by.get(r, {}).get("I" + SH + "condition", []):
+                focus = focus.join(v.failing(x, focus.select(F.col("focus").alias("value"))).withColumnRenamed("value", "focus"), "focus", "left_anti")
+            focus = materialise(focus)
             if (q := read.one(r, "construct")) is not None:
-                made = current.query(decode(q).lex, bindings=None).df.withColumn("g", F.lit(None).cast("string"))
+                made = v.construct(r, q, focus)
             else:
                 side = {}
                 for name in ("subject", "predicate", "object"):

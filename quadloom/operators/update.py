@@ -39,7 +39,11 @@ def _without(quads: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _with(quads: DataFrame, more: DataFrame) -> DataFrame:
-    return quads.unionByName(more.select(*KEYS)).distinct()
+    """The quads and those that are new: only these are made distinct, and a few of them need no shuffle of all quads."""
+    more = more.select(*KEYS).distinct()
+    there = more.select(*[F.col(k).alias("_" + k) for k in KEYS])
+    same = (F.col("s") == F.col("_s")) & (F.col("p") == F.col("_p")) & (F.col("o") == F.col("_o")) & F.col("g").eqNullSafe(F.col("_g"))
+    return quads.unionByName(_without(more, quads.join(there, same, "left_semi")))
 
 
 def _data(dataset, template: tuple, salt: str) -> DataFrame:

@@ -52,16 +52,22 @@ sparql("bind_arith", "SELECT ?k ?net WHERE { ?l :l_linenumber ?k ; :l_extendedpr
 sparql("optional", "SELECT ?c ?k WHERE { ?x :c_custkey ?c OPTIONAL { ?o :o_customer ?x ; :o_orderkey ?k } }", "SELECT c_custkey AS c, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 sparql("optional_filter", "SELECT ?c ?k WHERE { ?x :c_custkey ?c ; :c_acctbal ?b OPTIONAL { ?o :o_customer ?x ; :o_orderkey ?k ; :o_totalprice ?t FILTER(?t > 30 * ?b) } }",
     "SELECT c_custkey AS c, o_orderkey AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 30 * c_acctbal")
-sparql("optional_chain_unbound", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_mktsegment ?g FILTER(?c < 40)
-      OPTIONAL { ?x :c_acctbal ?b . BIND("pre" AS ?t) FILTER(?b < 0) } OPTIONAL { VALUES (?g ?t) { ("BUILDING" "pre") ("BUILDING" "post") ("MACHINERY" "post") } } }""",
-    """WITH a AS (SELECT c_custkey AS c, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN 'pre' END AS t FROM customer WHERE c_custkey < 40),
-      v(g, t) AS (VALUES ('BUILDING', 'pre'), ('BUILDING', 'post'), ('MACHINERY', 'post'))
-    SELECT a.c, coalesce(a.t, v.t) AS t FROM a LEFT JOIN v ON a.g = v.g AND (a.t = v.t OR a.t IS NULL)""")
-sparql("optional_chain_unbound_all", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_mktsegment ?g
+sparql("optional_chain_unbound", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_mktsegment ?g
       OPTIONAL { ?x :c_acctbal ?b . BIND("pre" AS ?t) FILTER(?b < 0) } OPTIONAL { VALUES (?g ?t) { ("BUILDING" "pre") ("BUILDING" "post") ("MACHINERY" "post") } } }""",
     """WITH a AS (SELECT c_custkey AS c, c_mktsegment AS g, CASE WHEN c_acctbal < 0 THEN 'pre' END AS t FROM customer),
       v(g, t) AS (VALUES ('BUILDING', 'pre'), ('BUILDING', 'post'), ('MACHINERY', 'post'))
     SELECT a.c, coalesce(a.t, v.t) AS t FROM a LEFT JOIN v ON a.g = v.g AND (a.t = v.t OR a.t IS NULL)""")
+sparql("exists_nested", """SELECT ?c WHERE { ?x :c_custkey ?c ; :c_acctbal ?b
+      FILTER EXISTS { { ?o :o_customer ?x ; :o_totalprice ?t FILTER(?t > 60 * ?b) } UNION { ?x :c_nation/:n_region/:r_regionkey ?r FILTER(?r * 1000 > ?b) } } }""",
+    """SELECT c_custkey AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey * 1000 > c_acctbal
+      OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 60 * c_acctbal)""")
+sparql("not_exists_nested", """SELECT ?c WHERE { ?x :c_custkey ?c ; :c_acctbal ?b
+      FILTER NOT EXISTS { ?o :o_customer ?x OPTIONAL { ?o :o_totalprice ?t FILTER(?t > 60 * ?b) } FILTER(!BOUND(?t)) } }""",
+    "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT o_totalprice > 60 * c_acctbal)")
+sparql("minus_unbound", """SELECT ?c ?t WHERE { ?x :c_custkey ?c ; :c_acctbal ?b OPTIONAL { ?x :c_mktsegment ?t FILTER(?b > 0) }
+      MINUS { ?x :c_sponsor ?y OPTIONAL { ?x :c_mktsegment ?t FILTER(?t != "BUILDING") } } }""",
+    """SELECT c_custkey AS c, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS t FROM customer
+      WHERE NOT (c_custkey > 0 AND (c_mktsegment = 'BUILDING' OR c_acctbal <= 0 OR c_mktsegment <> 'BUILDING'))""")
 sparql("union", "SELECT ?n WHERE { { ?x :c_name ?n } UNION { ?x :s_name ?n } }", "SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier")
 sparql("union_hetero", "SELECT ?n ?b ?s WHERE { { ?x :c_name ?n ; :c_acctbal ?b } UNION { ?x :p_name ?n ; :p_size ?s } }", "SELECT c_name AS n, c_acctbal AS b, NULL::BIGINT AS s FROM customer UNION ALL SELECT p_name, NULL, p_size::BIGINT FROM part")
 sparql("minus", "SELECT ?c WHERE { ?x :c_custkey ?c MINUS { ?o :o_customer ?x ; :o_orderstatus \"F\" } }", "SELECT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -150,8 +156,7 @@ sparql("path_seq", "SELECT ?n ?r WHERE { ?x :c_name ?n ; :c_nation/:n_region/:r_
 sparql("path_alt", "SELECT ?n (COUNT(*) AS ?k) WHERE { ?x (:c_nation|:s_nation)/:n_name ?n } GROUP BY ?n", "SELECT n_name AS n, count(*)::BIGINT AS k FROM (SELECT c_nationkey AS x FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON x = n_nationkey GROUP BY 1")
 sparql("path_inv", "SELECT ?r (COUNT(?c) AS ?k) WHERE { ?y :r_name ?r ; ^:n_region/^:c_nation ?c } GROUP BY ?r", "SELECT r_name AS r, count(*)::BIGINT AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 sparql("path_neg", "SELECT (COUNT(*) AS ?k) WHERE { ?x a :Nation ; !(:n_name|:n_region) ?v }", "SELECT 2 * count(*)::BIGINT AS k FROM nation")
-sparql("path_opt", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b FILTER(?a < 50) }", "SELECT c_custkey AS a, c_custkey AS b FROM customer WHERE c_custkey < 50 UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey < 50 AND c_custkey > 0")
-sparql("path_opt_all", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", "SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey > 0")
+sparql("path_opt", "SELECT ?a ?b WHERE { ?x :c_sponsor? ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", "SELECT c_custkey AS a, c_custkey AS b FROM customer UNION SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey > 0")
 _TREE = "WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) "
 sparql("path_plus", "SELECT ?a ?b WHERE { ?x :c_sponsor+ ?y . ?x :c_custkey ?a . ?y :c_custkey ?b }", _TREE + "SELECT a, b FROM r")
 sparql("path_plus_const", f"SELECT ?a WHERE {{ ?x :c_sponsor+ <{BASE}customer/3> . ?x :c_custkey ?a }}", _TREE + "SELECT a FROM r WHERE b = 3")
@@ -341,13 +346,8 @@ def rdf12_reifier(spark, sf_dir):
     return d.query(PREFIX + "PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> SELECT ?n ?c WHERE { ?r rdf:reifies <<( ?x :n_region ?y )>> ; :certainty ?c . ?x :n_name ?n }").df
 
 
-@query("list_functions", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders WHERE o_custkey < 20 GROUP BY 1")
+@query("list_functions", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders GROUP BY o_custkey")
 def list_functions(spark, sf_dir):
-    return _order_lists(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 20"))
-
-
-@query("list_functions_all", "SELECT '$Blists/' || o_custkey AS list, count(*)::BIGINT AS n, (min(o_orderkey))::VARCHAR AS first FROM orders GROUP BY o_custkey")
-def list_functions_all(spark, sf_dir):
     return _order_lists(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
@@ -505,3 +505,102 @@ def ntriples_round_trip(spark, sf_dir):
     path = f"{workspace(spark)}/lines-{uuid.uuid4().hex}"
     write(_geo(spark, sf_dir).quads, path, "nquads")
     return _shown(read(spark, path, "nquads")).select("s", "p", "o")
+
+
+# quads of customers and their orders, written by predicate
+def _shop(spark, sf_dir, turtle: str = ""):
+    from ..dataset import Dataset
+    from ..sources.quads import SCHEMA
+    from ..sources.readers import parse
+
+    quads = _quads(spark, sf_dir, "customer", "orders", "nation")
+    if turtle:
+        head = f"@prefix : <{BASE}> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix owl: <http://www.w3.org/2002/07/owl#> . "
+        quads = quads.unionByName(spark.createDataFrame(parse(head + turtle, "turtle"), SCHEMA))
+    return Dataset.of_quads(quads).stored()
+
+
+def _turtle(spark, text: str):
+    from ..dataset import Dataset
+    from ..sources.quads import SCHEMA
+    from ..sources.readers import parse
+
+    head = f"@prefix : <{BASE}> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . "
+    return Dataset.of_quads(spark.createDataFrame(parse(head + text, "turtle"), SCHEMA))
+
+
+@query("shop_star_join", "SELECT c_mktsegment AS g, n_name AS n, count(*)::BIGINT AS k, round(sum(o_totalprice), 2) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def shop_star_join(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    d = _shop(spark, sf_dir).query(PREFIX + "SELECT ?g ?n (COUNT(*) AS ?k) (xsd:double(SUM(?p)) AS ?t) WHERE { ?o :o_customer ?c ; :o_totalprice ?p . ?c :c_mktsegment ?g ; :c_nation/:n_name ?n } GROUP BY ?g ?n").df
+    return d.select("g", "n", "k", F.round(F.col("t").cast("double"), 2).alias("t"))
+
+
+@query("shop_update_modify", "SELECT lower(c_mktsegment) AS g, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def shop_update_modify(spark, sf_dir):
+    d = _shop(spark, sf_dir).update(PREFIX + "DELETE { ?x :c_mktsegment ?n } INSERT { ?x :c_mktsegment ?m } WHERE { ?x :c_mktsegment ?n BIND(LCASE(?n) AS ?m) }")
+    return d.query(PREFIX + "SELECT ?g (COUNT(*) AS ?n) WHERE { ?x :c_mktsegment ?g } GROUP BY ?g").df
+
+
+@query("shop_update_delete", "SELECT count(*)::BIGINT AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def shop_update_delete(spark, sf_dir):
+    d = _shop(spark, sf_dir).update(PREFIX + "DELETE { ?o ?p ?v } WHERE { ?o :o_customer/:c_acctbal ?b ; ?p ?v FILTER(?b < 0) }")
+    return d.query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?o a :Order }").df
+
+
+@query("shop_rules", "SELECT n_name AS n, count(DISTINCT c_custkey)::BIGINT AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def shop_rules(spark, sf_dir):
+    d = _shop(spark, sf_dir).materialise("Simple", [f"?o <{BASE}o_customer> ?c . ?c <{BASE}c_nation> ?n -> ?n <{BASE}buyer> ?c"])
+    return d.query(PREFIX + "SELECT ?n (COUNT(*) AS ?k) WHERE { ?x :buyer ?c ; :n_name ?n } GROUP BY ?n").df
+
+
+@query("shop_rules_negation", "SELECT c_custkey::BIGINT AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def shop_rules_negation(spark, sf_dir):
+    rules = [f"?c <{BASE}c_nation> ?n . not ?c <{BASE}buys> ?n -> ?n <{BASE}idle> ?c", f"?o <{BASE}o_customer> ?c . ?c <{BASE}c_nation> ?n -> ?c <{BASE}buys> ?n"]
+    d = _shop(spark, sf_dir).materialise("Simple", rules)
+    return d.query(PREFIX + "SELECT (xsd:integer(?j) AS ?k) WHERE { ?n :idle ?c . ?c :c_custkey ?j }").df
+
+
+@query("shop_rdfs", "SELECT (SELECT count(*) FROM customer)::BIGINT + (SELECT count(*) FROM orders) AS n")
+def shop_rdfs(spark, sf_dir):
+    d = _shop(spark, sf_dir, ":Customer rdfs:subClassOf :Thing . :o_customer rdfs:domain :Thing .").materialise("RDFS")
+    return d.query(PREFIX + "SELECT (COUNT(DISTINCT ?x) AS ?n) WHERE { ?x a :Thing }").df
+
+
+@query("shop_owl_inverse", "SELECT count(*)::BIGINT AS n FROM orders WHERE o_custkey IS NOT NULL")
+def shop_owl_inverse(spark, sf_dir):
+    d = _shop(spark, sf_dir, ":o_customer owl:inverseOf :ordered .").materialise("OWL-RL")
+    return d.query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?c :ordered ?o }").df
+
+
+@query("shop_shacl", """SELECT '$Bcustomer/' || o_custkey AS focus, 'MaxCount' AS component FROM orders GROUP BY o_custkey HAVING count(*) > 15
+    UNION ALL SELECT '$Bcustomer/' || c_custkey, 'MinInclusive' FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT '$Bcustomer/' || c_custkey, 'In' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def shop_shacl(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    shapes = _turtle(spark, """:S a sh:NodeShape ; sh:targetClass :Customer ; sh:property [ sh:path [ sh:inversePath :o_customer ] ; sh:maxCount 15 ] ,
+      [ sh:path :c_acctbal ; sh:minInclusive 0.0 ] , [ sh:path :c_mktsegment ; sh:in ( "BUILDING" "MACHINERY" ) ] .""")
+    return _shop(spark, sf_dir).validate(shapes).select(F.substr("focus", F.lit(2)).alias("focus"), "component")
+
+
+@query("shop_shacl_rule", "SELECT count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 200000")
+def shop_shacl_rule(spark, sf_dir):
+    from ..dataset import Dataset
+    from ..operators import shapes as S
+
+    rules = _turtle(spark, f""":S a sh:NodeShape ; sh:targetClass :Customer ; sh:rule [ a sh:SPARQLRule ; sh:prefixes :names ; sh:condition [ sh:property [ sh:path :c_mktsegment ; sh:hasValue "BUILDING" ] ] ;
+      sh:construct "CONSTRUCT {{ $this t:large ?o }} WHERE {{ ?o t:o_customer $this ; t:o_totalprice ?p FILTER(?p > 200000) }}" ] .
+      :names sh:declare [ sh:prefix "t" ; sh:namespace "{BASE}" ] .""")
+    return Dataset.of_quads(S.rules(_shop(spark, sf_dir), rules)).query(PREFIX + "SELECT (COUNT(*) AS ?n) WHERE { ?c :large ?o }").df
+
+
+@query("shop_void", " UNION ALL ".join(f"SELECT 'propertyPartition' AS statistic, '$B{c}' AS subject, count({c})::BIGINT AS n FROM {t}" for t, c in (("customer", "c_custkey"), ("customer", "c_mktsegment"), ("orders", "o_orderkey"), ("orders", "o_totalprice"), ("orders", "o_orderstatus")))
+    + " UNION ALL SELECT 'classPartition', '$BOrder', count(*) FROM orders UNION ALL SELECT 'classPartition', '$BCustomer', count(*) FROM customer UNION ALL SELECT 'distinctSubjects', '', (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)")
+def shop_void(spark, sf_dir):
+    from ..operators.projections import void
+
+    kept = [BASE + x for x in ("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice", "o_orderstatus", "Order", "Customer")]
+    found = void(_shop(spark, sf_dir).quads)
+    return found.where(found.subject.isin(kept) | (found.statistic == "distinctSubjects"))

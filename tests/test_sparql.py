@@ -127,3 +127,55 @@ def test_refusals(data):
 
 def test_governed_answers(data):
     assert data.query(P + "SELECT * WHERE { ?s ?p ?o }", limit=3).df.count() == 3
+
+
+def graph(spark, text):
+    return Dataset.of_quads(spark.createDataFrame(parse("@prefix : <http://t.test/> . " + text, "turtle"), SCHEMA))
+
+
+def test_exists_sees_outer_variables_in_nested_groups(spark):
+    d = graph(spark, ":a :v 1 ; :w 5 . :b :v 9 ; :w 5 ; :z 20 . :c :v 3 ; :z 4 . :e :v 0 .")
+    xs = lambda q: sorted(r["x"].value[-1] for r in d.query(P + q).rows())
+    either = "{ ?x :w ?t FILTER(?t > ?b) } UNION { ?x :z ?t FILTER(?t > ?b) }"
+    assert xs(f"SELECT ?x WHERE {{ ?x :v ?b FILTER EXISTS {{ {either} }} }}") == ["a", "b", "c"]
+    assert xs(f"SELECT ?x WHERE {{ ?x :v ?b FILTER NOT EXISTS {{ {either} }} }}") == ["e"]
+    assert xs("SELECT ?x WHERE { ?x :v ?b FILTER EXISTS { ?x :z ?t OPTIONAL { ?x :w ?u FILTER(?u > ?b) } FILTER(!BOUND(?u)) } }") == ["b", "c"]
+    assert xs("SELECT ?x WHERE { ?x :v ?b FILTER(EXISTS { { ?x :w ?t FILTER(?t > ?b) } } || ?b = 3) }") == ["a", "c"]
+    assert xs("SELECT ?x WHERE { ?x :v ?b FILTER EXISTS { BIND(?b + 1 AS ?c) FILTER(?c > 4) } }") == ["b"]
+
+
+def test_patterns_with_a_triple_as_subject(spark):
+    d = graph(spark, "<< :a :v 5 >> :said :bob . << :b :v 6 >> :said :ann . :c :v 5 .")
+    found = d.query(P + "SELECT ?s ?o WHERE { ?r <http://www.w3.org/1999/02/22-rdf-syntax-ns#reifies> <<( ?s :v 5 )>> ; :said ?o }").rows()
+    assert [(r["s"].value[-1], r["o"].value[-3:]) for r in found] == [("a", "bob")]
+
+
+def test_rules_in_layers(spark):
+    from quadloom.operators import rules as R
+
+    d = graph(spark, "<urn:list:b> <urn:list:m> :x . <urn:list:a> <urn:list:m> :x ; <urn:list:p> :x .")
+    out = d.materialise("Simple", ["?a list:m ?b . not ?a list:q ?b -> ?a list:r ?b", "?a list:p ?b -> ?a list:q ?b"])
+    assert [r.s for r in out.quads.where("p = 'Iurn:list:r'").collect()] == ["Iurn:list:b"]
+    with pytest.raises(ValueError, match="negation"):
+        R.strata([R.rule("odd", "?a list:m ?b . not ?a list:r ?b -> ?a list:r ?b")])
+
+
+def test_lists_and_circles(spark):
+    from quadloom.operators import rules as R
+
+    rdf = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    text = f":h {rdf}rest> :m ; {rdf}first> 1 . :m {rdf}rest> :n ; {rdf}first> 2 . :n {rdf}rest> :m ; {rdf}first> 3 . :k :has (1 2 3 4 5 6 7 8 9) , () , (7) ."
+    found = sorted((r.list, r.pos, r.item.rsplit("\x1f", 1)[-1]) for r in R.list_members(graph(spark, text).quads).collect())
+    assert sorted((p, i) for _, p, i in found) == sorted([(k, str(k + 1)) for k in range(9)] + [(0, "7")])
+
+
+def test_shacl_rules_bind_this(spark):
+    from quadloom.operators import shapes as S
+
+    text = """@prefix sh: <http://www.w3.org/ns/shacl#> . :S a sh:NodeShape ; sh:targetNode :a , :c ; sh:rule [ sh:prefixes :pre ; sh:condition [ sh:property [ sh:path :v ; sh:maxInclusive 5 ] ] ;
+      sh:construct "CONSTRUCT { $this t:big ?v } WHERE { $this t:v ?v FILTER(?v > 0) }" ] . :pre sh:declare [ sh:prefix "t" ; sh:namespace "http://t.test/" ] ."""
+    out = S.rules(graph(spark, ":a :v 1 . :b :v 9 . :c :v 8 ."), graph(spark, text))
+    assert [r.s[-1] for r in out.where("p = 'Ihttp://t.test/big'").collect()] == ["a"]
+    loop = "@prefix sh: <http://www.w3.org/ns/shacl#> . :L a sh:NodeShape ; sh:targetNode :a ; sh:property [ sh:path :v ; sh:node :L ] ."
+    with pytest.raises(ValueError, match="recursive"):
+        graph(spark, ":a :v :a .").validate(graph(spark, loop)).count()
