@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -127,20 +129,23 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[Block]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a single machine one of our own if it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        # a single machine, as in tests: no cluster has named a folder
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="quadloom-")
         spark.conf.set("spark.checkpoint.dir", where)
-        atexit.register(__import__("shutil").rmtree, where, True)
+        atexit.register(shutil.rmtree, where, True)
     return where
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Lets a batch that goes to Python hold 1000 rows or 16 MB, whichever is less: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Lets a batch that goes to Python hold 1000 rows or 16 MB, whichever is less, as texts may be long; smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return spark
 
 
