@@ -49,10 +49,12 @@ class Dataset:
     A dataset does not change; ``update`` and ``materialise`` return another.
     """
 
-    def __init__(self, spark: SparkSession, source, functions: dict[str, Callable] | None = None, aggregates: dict | None = None, relations: dict | None = None, service: Callable | None = None, resolver: Callable | None = None):
+    def __init__(self, spark: SparkSession, source, functions: dict[str, Callable] | None = None, aggregates: dict | None = None, relations: dict | None = None, service: Callable | None = None, resolver: Callable | None = None, extensions: str = "", standpoint: tuple[str, str] | None = None):
         self.spark, self.source = spark, source
         self.functions, self.aggregates, self.relations = functions or {}, aggregates or {}, relations or {}
         self.service, self.resolver = service, resolver
+        #: the namespace of list functions and heldIn, and the predicates of standpoints
+        self.extensions, self.standpoint = extensions, standpoint
 
     @classmethod
     def of_quads(cls, quads: DataFrame, **more) -> Dataset:
@@ -79,14 +81,14 @@ class Dataset:
         return out
 
     def with_quads(self, quads: DataFrame) -> Dataset:
-        return Dataset(self.spark, QuadSource(quads), self.functions, self.aggregates, self.relations, self.service, self.resolver)
+        return Dataset(self.spark, QuadSource(quads), self.functions, self.aggregates, self.relations, self.service, self.resolver, self.extensions, self.standpoint)
 
     @property
     def quads(self) -> DataFrame:
         return self.source.all_quads()
 
     def context(self, **more) -> Context:
-        return context(self.spark, self.source, functions=self.functions, custom_aggregates=self.aggregates, relations=self.relations, service=self.service, **more)
+        return context(self.spark, self.source, functions=self.functions, custom_aggregates=self.aggregates, relations=self.relations, service=self.service, extensions=self.extensions, standpoint=self.standpoint, **more)
 
     def prepare(self, text: str, base: str = "") -> A.Query:
         return parse_query(text, base, frozenset(self.relations))

@@ -178,6 +178,12 @@ def _statistic(local: str, a, v: Val, f: Frame):
         return v.kind, F.mode(v.col, True), lambda c: Val(v.kind, c, v.prefix)
     if local in ("FIRST", "LAST"):
         w = v if v.kind != "lang" else Val("term", code(v))
+        downs = {down for down, _ in f.order}
+        if len(downs) < 2:
+            # one direction: the least or greatest key tells, without the group's values together
+            by = F.when(w.col.isNotNull(), F.struct(*[F.col(c).alias(f"k{i}") for i, (_, c) in enumerate(f.order)], *([] if f.order else [w.col.alias("v")])))
+            least = (local == "FIRST") != (True in downs)
+            return w.kind, (F.min_by if least else F.max_by)(w.col, by), lambda c: Val(w.kind, c, w.prefix)
         got = _ordered(w, f, False)
         return w.kind, F.element_at(got, 1) if local == "FIRST" else F.element_at(got, -1), lambda c: Val(w.kind, c, w.prefix)
     k = int(options["K"].lex) if "K" in options else 1

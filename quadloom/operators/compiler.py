@@ -33,6 +33,8 @@ class Context:
     graph: object = None  # None: the default graph; an IRI; a Var
     default: tuple[str, ...] | None = None  # FROM
     named: tuple[str, ...] | None = None  # FROM NAMED
+    extensions: str = ""  # the namespace of the list functions and heldIn
+    standpoint: tuple[str, str] | None = None  # predicates: according to whom, and which standpoint sharpens which
 
 
 def context(spark: SparkSession, source: object, base: str = "", now: dt.datetime | None = None, **more) -> Context:
@@ -68,6 +70,8 @@ def expression(e: object, scope: dict[str, Val], ctx: Context, flags: dict[int,
             a = go(x)
             return boolean(reduce(lambda p, q: p | q, [B.equal(a, go(o)) for o in options], F.lit(False)))
         case A.Call(name, args):
+            if list_call(e, ctx):
+                return LISTS[name[len(ctx.extensions) :]](flags[id(e)].col, *map(go, args[1:]))
             f = ctx.functions.get(name)
             if f is None:
                 raise B.Unsupported(name)
@@ -88,6 +92,61 @@ def exists_in(e: object) -> list[A.Exists]:
     return []
 
 
+#: functions of an rdf:List, given as an array of codes, by local name; places count from 0
+LISTS = {
+    "listLength": lambda items: Val("int", F.when(items.isNotNull(), F.size(items).cast("long"))),
+    "listGet": lambda items, i: Val("term", F.get(items, as_double(i).cast("int"))),
+    "listIndexOf": lambda items, x: Val("int", F.nullif(F.array_position(items, code(x)).cast("long") - 1, F.lit(-1).cast("long"))),
+    "listContains": lambda items, x: boolean(F.array_contains(items, code(x))),
+}
+
+
+def list_call(e: object, ctx: Context) -> bool:
+    return bool(ctx.extensions) and isinstance(e, A.Call) and e.name.startswith(ctx.extensions) and e.name[len(ctx.extensions) :] in LISTS
+
+
+def list_calls_in(e: object, ctx: Context) -> list[A.Call]:
+    inner = [x for a in e.args for x in list_calls_in(a, ctx)] if isinstance(e, A.Call) else []
+    return [*inner, e] if list_call(e, ctx) else inner
+
+
+def held(e: object, ctx: Context) -> object:
+    """An expression whose heldIn(r, s) is spelt out: r is according to s, or to what sharpens s."""
+    if not isinstance(e, A.Call):
+        return e
+    if ctx.extensions and e.name == ctx.extensions + "heldIn":
+        if ctx.standpoint is None:
+            raise B.Unsupported("heldIn without predicates of standpoints")
+        according, sharpens = map(A.Link, ctx.standpoint)
+        r, s = e.args
+        return A.Exists(A.PathPattern(r, A.Alt(according, A.Seq(according, sharpens)), s))
+    return replace(e, args=tuple(held(a, ctx) for a in e.args))
+
+
+def flagged(f: Frame, e: object, ctx: Context) -> tuple[Frame, dict[int, Val]]:
+    """The frame with a column for each EXISTS and each list that an expression needs."""
+    flags: dict[int, Val] = {}
+    for x in exists_in(e):
+        f, flags[id(x)] = exists_flag(f, x.pattern, ctx)
+    for x in list_calls_in(e, ctx):
+        f, flags[id(x)] = list_items(f, x.args[0], ctx)
+    return f, flags
+
+
+def list_items(f: Frame, arg: object, ctx: Context) -> tuple[Frame, Val]:
+    """The frame with the items of the list that an argument names, null where it names none."""
+    from .rules import list_members
+
+    head, items = R.fresh("head"), R.fresh("items")
+    df = f.df.withColumn(head, code(expression(arg, scope_of(f), ctx)))
+    quads = ctx.source.all_quads().where("g IS NULL").select("s", "p", "o")
+    heads = df.select(F.col(head).alias("cell")).where("cell IS NOT NULL").distinct()
+    members = list_members(quads, heads).groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias(items))
+    nil = F.when(F.col(head) == encode(IRI("http://www.w3.org/1999/02/22-rdf-syntax-ns#nil")), F.array().cast("array<string>"))
+    df = df.join(members, F.col(head) == F.col("list"), "left").drop("list").withColumn(items, F.coalesce(items, nil)).drop(head)
+    return replace(f, df=df), Val("list", F.col(items))
+
+
 def scope_of(f: Frame) -> dict[str, Val]:
     return {n: f.val(n) for n in f.slots}
 
@@ -212,6 +271,7 @@ def bgp(triples: tuple, ctx: Context) -> Frame:
 
 def filtered(cond: object, f: Frame, ctx: Context) -> Frame:
     """FILTER: conjuncts that are EXISTS become semi and anti joins."""
+    cond = held(cond, ctx)
     match cond:
         case A.Call("&&", (a, b)):
             return filtered(b, filtered(a, f, ctx), ctx)
@@ -219,9 +279,7 @@ def filtered(cond: object, f: Frame, ctx: Context) -> Frame:
             return exists(f, p, ctx, anti=False)
         case A.Call("!", (A.Exists(p),)):
             return exists(f, p, ctx, anti=True)
-    flags: dict[int, Val] = {}
-    for e in exists_in(cond):
-        f, flags[id(e)] = exists_flag(f, e.pattern, ctx)
+    f, flags = flagged(f, cond, ctx)
     # flags are columns of the frame's table, so the scope is taken after all joins
     return replace(f, df=f.df.where(truth(expression(cond, scope_of(f), ctx, flags))))
 
@@ -297,9 +355,8 @@ def exists_flag(f: Frame, p: A.Pattern, ctx: Context) -> tuple[Frame, Val]:
 
 
 def extend(f: Frame, name: str, e: object, ctx: Context) -> Frame:
-    flags: dict[int, Val] = {}
-    for x in exists_in(e):
-        f, flags[id(x)] = exists_flag(f, x.pattern, ctx)
+    e = held(e, ctx)
+    f, flags = flagged(f, e, ctx)
     v = expression(e, scope_of(f), ctx, flags)
     kept = {n: f.val(n) for n in f.slots}
     certain = {n: s.certain for n, s in f.slots.items()}

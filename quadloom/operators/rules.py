@@ -173,11 +173,11 @@ def implemented_rules(name: str) -> list[str]:
     return [r.name for r in regime(name)] + ([*WHOLE, "dt-not-type"] if name.upper() == "OWL-RL" else [])
 
 
-def list_members(triples: DataFrame) -> DataFrame:
+def list_members(triples: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(list, pos, item) of every rdf:List that ends at nil, by its first cell; lists that run into a cycle are left out.
 
-    A first cell is one that no other cell goes on to, or that something other
-    than a cell refers to.  Cells are found by jumps of 1, 2, 4 ... cells, so the
+    A first cell is one of ``heads``(cell), or if these are not given one that no
+    other cell goes on to, or that something other than a cell refers to.  Cells are found by jumps of 1, 2, 4 ... cells, so the
     rounds grow with the logarithm of the longest list; a list that is still
     going after as many cells as there are goes round in a circle.
     """
@@ -188,7 +188,10 @@ def list_members(triples: DataFrame) -> DataFrame:
     tails = rest.select(F.col("tail").alias("cell")).distinct()
     named = triples.where(F.col("p") != rest_of).select(F.col("o").alias("cell")).distinct()
     some = rest.select("cell").distinct()
-    heads = some.join(tails, "cell", "left_anti").union(some.join(named, "cell", "left_semi")).distinct()
+    if heads is None:
+        heads = some.join(tails, "cell", "left_anti").union(some.join(named, "cell", "left_semi")).distinct()
+    else:
+        heads = some.join(heads, "cell", "left_semi")
     found = write(heads.select(F.col("cell").alias("list"), "cell", F.lit(0).cast("long").alias("pos")))
     jump, step = rest.where(F.col("tail") != nil), 1
     while step <= cells:

@@ -179,3 +179,19 @@ def test_shacl_rules_bind_this(spark):
     loop = "@prefix sh: <http://www.w3.org/ns/shacl#> . :L a sh:NodeShape ; sh:targetNode :a ; sh:property [ sh:path :v ; sh:node :L ] ."
     with pytest.raises(ValueError, match="recursive"):
         graph(spark, ":a :v :a .").validate(graph(spark, loop)).count()
+
+
+def test_list_functions_in_queries(spark):
+    d = graph(spark, ":k :has (7 8 9) . :m :has () . :n :has 5 .")
+    d.extensions = "http://t.test/"
+    q = P + "SELECT ?x ?n ?g ?i ?c WHERE { ?x :has ?l BIND(:listLength(?l) AS ?n) BIND(:listGet(?l, 1) AS ?g) BIND(:listIndexOf(?l, 9) AS ?i) BIND(:listContains(?l, 8) AS ?c) }"
+    found = {r["x"].value[-1]: tuple(r[v].lex if v in r else None for v in "ngic") for r in d.query(q).rows()}
+    assert found == {"k": ("3", "8", "2", "true"), "m": ("0", None, None, "false"), "n": (None, None, None, None)}
+    assert [r["x"].value[-1] for r in d.query(P + "SELECT ?x WHERE { ?x :has ?l FILTER(:listLength(?l) > 2 && EXISTS { ?x :has ?l }) }").rows()] == ["k"]
+
+
+def test_standpoints(spark):
+    d = graph(spark, "<< :earth :shape :sphere ~ :claim >> :x 1 . :claim :accordingTo :geodesy . :geodesy :sharpens :common . :common :sharpens :all .")
+    d.extensions, d.standpoint = "http://t.test/", ("http://t.test/accordingTo", "http://t.test/sharpens")
+    ask = lambda s: d.query(P + f"ASK {{ ?r :accordingTo ?a FILTER(:heldIn(?r, {s})) }}").boolean
+    assert ask(":common") and ask(":geodesy") and not ask(":all") and not ask(":other")
