@@ -157,6 +157,11 @@ def closure(path: object, least: int, ctx, start: object, end: object) -> Frame:
         if graph:
             on = on & (delta["g"] == step["g"])
         found = delta.join(step, on).select(delta["a"], F.col("z").alias("b"), *([delta["g"]] if graph else [])).distinct()
+        if seed is not None and not graph:
+            # what one node reaches is small beside a round's cost: three steps a round
+            for _ in range(2):
+                more = found.withColumnRenamed("b", "m").join(step, "m").select("a", F.col("z").alias("b"))
+                found = found.union(more).distinct()
         delta = materialise(found.join(seen, keys, "left_anti"))
         rounds.append(delta)
         seen = reduce(lambda x, y: x.union(y), rounds)
