@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import algebra as A
 from ..functions import builtins as B
 from ..functions.values import Val, as_double, boolean, code, constant, is_kind, null, text_of, tier, truth
+from ..governor import Stopped
 from ..storage import materialise
 from ..terms import IRI, RS, Blank, Triple, Var, encode
 from . import aggregates, paths
@@ -530,8 +531,9 @@ def service(p: A.Service, ctx: Context, left: Frame | None) -> Frame:
     def ask(endpoint: str) -> Frame:
         try:
             rows = list(ctx.service(endpoint, p.text, names))
-        except Exception:
-            if not p.silent:
+        except Exception as e:
+            # SILENT forgives an endpoint, not a limit
+            if not p.silent or isinstance(e, Stopped):
                 raise
             return R.empty_solution(ctx.spark)
         return values(tuple(map(Var, names)), tuple(tuple(r.get(n) for n in names) for r in rows), ctx)

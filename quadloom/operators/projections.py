@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import Val, datatype, is_kind, lexical, text_of
+from ..functions.values import Val, datatype, is_kind, lexical, text_of, triple_code
 from ..storage import materialise
-from ..terms import RDF
+from ..terms import OWL, RDF, RS
 from .rules import list_members
 
 TYPE = "I" + RDF + "type"
@@ -141,3 +141,29 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, id_: str = "vec_i
 
 def terms_text(quads: DataFrame) -> DataFrame:
     return quads.select(*[text_of(Val("term", F.col(c))).alias(c) for c in "spog"])
+
+
+def to_axioms(quads: DataFrame) -> DataFrame:
+    """Quads whose rdf:reifies statements are OWL axioms instead: a source, a property and a target for each reifier."""
+    reifies = F.col("p") == "I" + RDF + "reifies"
+    term = reifies & is_kind(Val("term", F.col("o")), "T")
+    parts = F.split(F.substr("o", F.lit(2)), RS, 3)
+    owl = lambda name: F.lit("I" + OWL + name)
+    made = F.array(
+        F.struct(F.lit(TYPE).alias("p"), owl("Axiom").alias("o")), F.struct(owl("annotatedSource").alias("p"), F.get(parts, F.lit(0)).alias("o")),
+        F.struct(owl("annotatedProperty").alias("p"), F.get(parts, F.lit(1)).alias("o")), F.struct(owl("annotatedTarget").alias("p"), F.get(parts, F.lit(2)).alias("o")),
+    )
+    return quads.where(~term).unionByName(quads.where(term).select("s", F.explode(made).alias("x"), "g").select("s", "x.p", "x.o", "g")).distinct()
+
+
+def from_axioms(quads: DataFrame) -> DataFrame:
+    """The inverse of ``to_axioms``: a node with one source, one property and one target reifies their triple; others stay as they are."""
+    names = {"annotatedSource": "a", "annotatedProperty": "b", "annotatedTarget": "c"}
+    mine = F.col("p").isin(["I" + OWL + n for n in names])
+    values = [F.collect_set(F.when(F.col("p") == "I" + OWL + n, F.col("o"))).alias(c) for n, c in names.items()]
+    found = quads.where(mine).groupBy("s", "g").agg(*values).where("size(a) = 1 AND size(b) = 1 AND size(c) = 1")
+    made = found.select("s", F.lit("I" + RDF + "reifies").alias("p"), triple_code(F.get("a", F.lit(0)), F.get("b", F.lit(0)), F.get("c", F.lit(0))).alias("o"), "g")
+    whole = found.select(F.col("s").alias("_s"), F.col("g").alias("_g"))
+    axiom = mine | ((F.col("p") == TYPE) & (F.col("o") == "I" + OWL + "Axiom"))
+    gone = quads.where(axiom).join(whole, (F.col("s") == F.col("_s")) & F.col("g").eqNullSafe(F.col("_g")), "left_anti")
+    return quads.where(~axiom).unionByName(gone).unionByName(made)

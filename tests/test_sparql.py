@@ -195,3 +195,43 @@ def test_standpoints(spark):
     d.extensions, d.standpoint = "http://t.test/", ("http://t.test/accordingTo", "http://t.test/sharpens")
     ask = lambda s: d.query(P + f"ASK {{ ?r :accordingTo ?a FILTER(:heldIn(?r, {s})) }}").boolean
     assert ask(":common") and ask(":geodesy") and not ask(":all") and not ask(":other")
+
+
+def test_axioms_round_trip(spark):
+    from quadloom.operators import projections as P_
+
+    d = graph(spark, "<< :a :v 5 ~ :r >> :said :bob . :b :v 6 .")
+    axioms = P_.to_axioms(d.quads)
+    assert axioms.where("p LIKE '%reifies'").count() == 0 and axioms.where("p LIKE '%annotatedTarget'").count() == 1
+    assert sorted(map(tuple, P_.from_axioms(axioms).collect()), key=repr) == sorted(map(tuple, d.quads.collect()), key=repr)
+
+
+def test_governors(spark, data):
+    import time
+
+    from quadloom.governor import Stopped, governed, limited
+
+    def wait(batches):
+        for b in batches:
+            time.sleep(40)
+            yield b
+
+    slow = spark.range(0, 4, 1, 2).mapInPandas(wait, "id long")
+    began = time.time()
+    with pytest.raises(Stopped, match="time"), governed(spark, seconds=1.5):
+        slow.collect()
+    assert time.time() - began < 30
+    with governed(spark, seconds=60) as h:
+        assert data.query(P + "SELECT ?x WHERE { ?x :p 1 }").df.count() == 1 and h.why is None
+    with pytest.raises(Stopped, match="cancelled"), governed(spark) as h:
+        import threading
+
+        threading.Timer(1.5, h.cancel).start()
+        slow.collect()
+    asked = []
+    d = data.with_quads(data.quads)
+    d.service = limited(lambda e, t, n: asked.append(e) or [], 1)
+    text = "SELECT ?x WHERE { SERVICE SILENT <http://one.test/> { ?x :p ?y } SERVICE SILENT <http://two.test/> { ?x :p ?y } }"
+    with pytest.raises(Stopped, match="remote"):
+        d.query(P + text)
+    assert len(asked) == 1
