@@ -5,8 +5,9 @@ Poisson process of rate equal to its weight, seeded by the element alone; its
 arrivals fall on random registers, and a register keeps its earliest arrival.
 Two documents agree on a register with the probability Jaccard similarity of
 their weights.  Elements whose next arrival is later than all registers stop,
-so most end at their first one.  With equal weights, as for ``op9``, the
-probability Jaccard similarity is the plain one.
+so most end at their first one.  Weights are occurrences with ``weighted``; with
+equal weights, as the contract of ``op9`` has them, the probability Jaccard
+similarity is the plain one.
 
 Bands of registers give buckets.  Links are verified on the shingle sets, and
 documents joined by links form a group:
@@ -116,32 +117,64 @@ def signatures(docs: DataFrame, k: int = SHINGLE, counts: bool = False) -> DataF
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>, k1 long, k2 long")
 
 
-def _sets(docs: DataFrame, k: int, repeated: bool) -> DataFrame:
-    """docs(id, text) -> (id, elements): the shingle sets, a row for each different one where ids are ``repeated``."""
+def probability_jaccard(a: np.ndarray, u: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
+    """The chance that two sets of elements a, b (sorted) with weights u, v agree on a register.
+
+    For a shared element i it is 1 / sum_j max(u_j / u_i, v_j / v_i); in the
+    order of u / v the sum is one of u beyond i and one of v before it.
+    """
+    every = np.union1d(a, b)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, a)], y[np.searchsorted(every, b)] = u, v
+    with np.errstate(divide="ignore"):
+        ratio = np.where(y > 0, x / np.where(y > 0, y, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    x, y = x[order], y[order]
+    from_here = np.cumsum(x[::-1])[::-1]
+    before = np.cumsum(y) - y
+    both = (x > 0) & (y > 0)
+    return float((1 / (from_here[both] / x[both] + before[both] / y[both])).sum())
+
+
+def _sets(docs: DataFrame, k: int, repeated: bool, weighted: bool) -> DataFrame:
+    """docs(id, text) -> (id, elements[, weights]): the shingle sets, a row for each different one where ids are ``repeated``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column("text")):
-                doc, h, _ = shingle_weights(b, k)
-                at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.n))])
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(b.first, b.n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(h))], ["id", "elements"])
+                doc, h, w = shingle_weights(b, k, weighted)
+                at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b.n))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, x) for x in (signed(h), pa.array(w.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(b.first, b.n), *lists[: 1 + weighted]], ["id", "elements", "weights"][: 2 + weighted])
 
-    found = docs.mapInArrow(run, "id long, elements array<long>")
+    found = docs.mapInArrow(run, "id long, elements array<long>" + ", weights array<int>" * weighted)
     # the elements are sorted, so equal sets have equal digests
-    return found.withColumn("_d", F.xxhash64("elements")).dropDuplicates(["id", "_d"]).drop("_d") if repeated else found
+    return found.withColumn("_d", F.xxhash64(*found.columns[1:])).dropDuplicates(["id", "_d"]).drop("_d") if repeated else found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) whose sets are similar enough."""
+    if "weights" in sets.columns:
+        named = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias("e" + x), F.col("weights").alias("w" + x))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = {c: batch.column(c) for c in ("ea", "wa", "eb", "wb")}
+                each = lambda c, i: lists[c][i].values.to_numpy(zero_copy_only=False)
+                j = [probability_jaccard(each("ea", i), each("wa", i), each("eb", i), each("wb", i)) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
+
+        both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "ea", "wa", "eb", "wb")
+        return both.mapInArrow(run, "a long, b long, jaccard double").where(F.col("jaccard") >= similarity - 1e-12)
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
     both = F.size(F.array_intersect("ea", "eb")).cast("double")
     return two.select("a", "b", (both / (F.size("ea") + F.size("eb") - both)).alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
-def _plausible(similarity: float) -> str:
-    """SQL: sizes n, m and sketches (k1, k2), (q1, q2) do not rule the similarity out."""
-    return f"least(n, m) >= {similarity} * greatest(n, m) AND bit_count(k1 ^ q1) + bit_count(k2 ^ q2) <= {SKETCH_DIFFERS}"
+def _plausible(similarity: float, weighted: bool = False) -> str:
+    """SQL: sizes n, m and sketches (k1, k2), (q1, q2) do not rule the similarity out; with weights, sizes tell nothing."""
+    return ("" if weighted else f"least(n, m) >= {similarity} * greatest(n, m) AND ") + f"bit_count(k1 ^ q1) + bit_count(k2 ^ q2) <= {SKETCH_DIFFERS}"
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -167,15 +200,16 @@ def _able(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return held.where(F.col("held") >= similarity * F.col("n")).select("rep")
 
 
-def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """docs(id, text) -> (id, group): ids linked to others and the smallest id of their group.
 
-    Links: Jaccard similarity of shingle sets of at least ``similarity``.  Ids
+    Links: Jaccard similarity of shingle sets of at least ``similarity``, or with
+    ``weighted`` the probability Jaccard similarity of their occurrences.  Ids
     without a link, null ids and texts without a word have no row.  A
     repeated id stands for all its texts.
     """
     docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
-    signed_docs = stored(signatures(docs, k), "signatures")
+    signed_docs = stored(signatures(docs, k, weighted), "signatures")
     classes = signed_docs.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.count("*").alias("members"))
     classes = stored(classes, "classes")
 
@@ -184,12 +218,12 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     pivots = bands.groupBy("key").agg(F.min(member).alias("p"), F.count("*").alias("size")).where("size > 1")
     buckets = bands.join(pivots, "key").select("key", "size", "rep", "n", "k1", "k2", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.k1").alias("q1"), F.col("p.k2").alias("q2"))
     buckets = stored(buckets, "buckets")
-    pairs = buckets.where(f"rep <> pivot AND {_plausible(similarity)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = buckets.where(f"rep <> pivot AND {_plausible(similarity, weighted)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
     # texts of the documents that some other one may match; each is read and dealt out once
     candidates = buckets.select("rep").distinct()
     repeated = not signed_docs.select("id").groupBy("id").count().where("count > 1").isEmpty()
-    sets = stored(_sets(docs.join(candidates.withColumnRenamed("rep", "id"), "id", "left_semi"), k, repeated), "sets")
+    sets = stored(_sets(docs.join(candidates.withColumnRenamed("rep", "id"), "id", "left_semi"), k, repeated, weighted), "sets")
     links = stored(_verified(pairs, sets, similarity).select("a", "b").distinct(), "links")
     found = stored(components(links), "groups")
 
@@ -202,9 +236,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
         rest = stored(_open(labelled), "open")
         if rest.isEmpty():
             break
-        rest = stored(_open(rest.join(_able(rest, sets, similarity), "rep", "left_semi")), "open")
+        if not weighted:
+            rest = stored(_open(rest.join(_able(rest, sets, similarity), "rep", "left_semi")), "open")
         chosen = rest.where(F.col("rank") <= high).select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("label").alias("to"), F.col("rank").alias("at"))
-        more = rest.join(chosen, "key").where(f"rank > at AND label <> to AND {_plausible(similarity)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        more = rest.join(chosen, "key").where(f"rank > at AND label <> to AND {_plausible(similarity, weighted)}").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         new = stored(_verified(more, sets, similarity).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             links = links.unionByName(new)

@@ -190,6 +190,41 @@ def test_near_duplicates_of_pairs_that_only_a_third_joins(spark):
     assert {d: found.get(d, d) for d in want} == want
 
 
+def test_near_duplicates_by_occurrences(spark):
+    """Weights count: equal sets of shingles, but one text repeats a part of it many times."""
+    from collections import Counter
+
+    rng = random.Random(9)
+    base = [f"q{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = base[:]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"new{rng.randrange(9)}"
+        rows.append((i, " ".join(w + w[5 : 5 + rng.randrange(6, 30)] * rng.randrange(0, 5))))
+    weights = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+
+    def exact(a, b):
+        every = a.keys() | b.keys()
+        return sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in every) for i in a.keys() & b.keys())
+
+    parent = list(range(60))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(60):
+        for j in range(i):
+            if exact(weights[i], weights[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    found = {r["id"]: r["group"] for r in minhash.groups(spark.createDataFrame(rows, "id long, text string"), weighted=True).collect()}
+    assert [found.get(i, i) for i in range(60)] == [root(i) for i in range(60)]
+    assert [root(i) for i in range(60)] != [brute.near_groups(rows)[i] for i in range(60)]
+
+
 def test_prob_minhash_estimates_weighted_similarity():
     rng = np.random.default_rng(3)
     e = rng.integers(1, 2**63, 300, dtype=np.uint64)
