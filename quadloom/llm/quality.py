@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, Block, blocks, bounded_batches, span_hash, stored
+from .common import BYTE_VALUES, Block, blocks, bounded_batches, signed, span_hash, stored
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_toxic")
 
@@ -52,25 +52,41 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, least: int = LEAST, ratio: int = RATIO) -> list[str]:
-    """Words, in lower case as far as A to Z go, that mark toxic documents; none where no label is toxic.
+def word_hashes(words: list[str]) -> list[int]:
+    """Words, in lower case as far as A to Z go, as the rule knows them."""
+    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+    return Block(np.concatenate([np.empty(0, np.uint8), *data]), offsets, 0, _LETTER_SEP).hashes.view(np.int64).tolist()
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, least: int = LEAST, ratio: int = RATIO) -> list[int]:
+    """Hashes of the words that mark toxic documents; none where no label is toxic.
 
     Null labels are no labels, of several for an id the largest counts, of
     several texts for an id each counts.
     """
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").alias("_toxic")).orderBy("_of").limit(labelled)
-    letters = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # the broadcast side has ``labelled`` rows at most
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_of")).select("_toxic", F.array_distinct(F.regexp_extract_all(letters, F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))).alias("words"))
-    t, c = (x or 0 for x in texts.agg(F.count_if(F.col("_toxic") == 1), F.count_if(F.col("_toxic") != 1)).first())
-    words = texts.select("_toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("_toxic") == 1).alias("t"), F.count_if(F.col("_toxic") != 1).alias("c"))
-    return sorted(r["word"] for r in words.where((F.col("t") >= least) & (F.col("t") * c >= F.col("c") * (ratio * t))).select("word").collect())
-
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_of")).select((F.col("_toxic") == 1).alias("toxic"), "text")
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    data = [np.frombuffer(w.encode(), np.uint8) for w in words]
-    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    return np.sort(Block(np.concatenate([np.empty(0, np.uint8), *data]), offsets, 0, _LETTER_SEP).hashes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of both kinds that each word is in; word 0 stands for all texts."""
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+            found = [(np.zeros(len(toxic), np.uint64), toxic)]
+            for b in blocks(batch.column("text")):
+                letters = Block(_LOWER[b.data], b.offsets, b.first, _LETTER_SEP)
+                order, new, _ = _distinct(letters.doc, letters.hashes)
+                found.append((letters.hashes[order[new]], toxic[b.first + letters.doc[order[new]]]))
+            word, flag = (np.concatenate(x) for x in zip(*found, strict=True))
+            word, at = np.unique(word, return_inverse=True)
+            t = np.bincount(at, weights=flag, minlength=len(word)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([signed(word), pa.array(t), pa.array(np.bincount(at, minlength=len(word)) - t)], ["word", "t", "c"])
+
+    counts = texts.mapInArrow(run, "word long, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = stored(counts, "words")
+    t, c = (x or 0 for x in counts.where("word = 0").agg(F.sum("t"), F.sum("c")).first())
+    return sorted(r["word"] for r in counts.where((F.col("word") != 0) & (F.col("t") >= least) & (F.col("t") * c >= F.col("c") * (ratio * t))).select("word").collect())
 
 
 def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +134,7 @@ def measure(b: Block, toxic: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def ledger(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, words: list[int], text: str = "text") -> DataFrame:
     """(row, the measurements, failed): each input row in a struct with its ledger entry beside it.
 
     A null or empty text has no words and so fails ``few_words``.  Repeated rows
@@ -128,7 +144,7 @@ def ledger(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
-    toxic = _word_hashes(words)
+    toxic = np.sort(np.array(words, np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +185,7 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def book(docs: DataFrame, words: list[str]) -> DataFrame:
+def book(docs: DataFrame, words: list[int]) -> DataFrame:
     """The ledger of documents(doc_id, text) as a stored table: an entry for each row, without its text."""
     entries = ledger(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
     return stored(entries.select("row.doc_id", *MEASURES, "failed"), "ledger")
@@ -183,6 +199,6 @@ def verdicts(entries: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, words: list[str], policy: str = "v1") -> DataFrame:
+def keep(docs: DataFrame, words: list[int], policy: str = "v1") -> DataFrame:
     """The rows of docs whose text passes the policy, unchanged; entry and row are together, so the ledger is not stored."""
     return ledger(docs, words).where(passes(policy)).select("row.*")
