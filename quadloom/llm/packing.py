@@ -30,10 +30,10 @@ from .common import stored, text_buffers
 
 CAPACITY, END = 4096, 1
 #: how strongly a length's coverage lowers its price; how much worse than the best a configuration may be; configurations of one pricing
-RATE, NEAR, COLUMNS = 1.0, 0.01, 16
+RATE, NEAR, COLUMNS = 1.0, 0.01, 64
 #: what part of its scarcest length's need a configuration takes in the first solution; tokens that rounding may leave, as a part of all;
-#: and how full a configuration must be while any such one is found
-STEP, RESIDUE, FULL = 0.25, 0.005, 0.999
+#: and how full a configuration must be while any such one is found, first and then
+STEP, RESIDUE, FULL = 0.25, 0.001, (1.0, 0.999)
 #: solutions that are tried where lengths do not fill sequences, and how strongly wasted space changes weights
 PASSES, LEARN = 12, 1.0
 #: pieces of one length that are ranked together
@@ -274,9 +274,9 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[dict
     lengths = np.arange(1, len(counts) + 1)
     volume = int((lengths * left).sum())
     plan: list[tuple[dict[int, int], int]] = []
-    share, bound, full = STEP, None, FULL * capacity
+    share, bound, fulls = STEP, None, [f * capacity for f in FULL]
     while (lengths * left).sum() > max(RESIDUE * volume, capacity):
-        chosen, dual = relax(left, capacity, share, full) if full else cover(left, capacity, share)
+        chosen, dual = relax(left, capacity, share, fulls[0]) if fulls else cover(left, capacity, share)
         bound = dual if bound is None else bound
         chosen.sort(key=lambda x: -x[1])
         again = []
@@ -293,9 +293,7 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[dict
                 plan.append((held, 1))
                 left[at] -= each
         if not chosen:
-            if not full:
-                break
-            full = 0.0
+            fulls = fulls[1:]
         share = min(1.0, share * 2)
     residue = int((lengths * left).sum())
     plan = fill_up(plan, left, capacity)
