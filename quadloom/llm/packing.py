@@ -36,8 +36,8 @@ RATE, NEAR, COLUMNS = 1.0, 0.01, 64
 STEP, RESIDUE, FULL = 0.25, 0.001, (1.0, 0.999)
 #: solutions that are tried where lengths do not fill sequences, and how strongly wasted space changes weights
 PASSES, LEARN = 12, 1.0
-#: pieces of one length that are ranked together
-RANKED = 100_000
+#: pieces of one length that are ranked together, and parts of all pieces beyond which it is more, as the driver has a row for each
+RANKED, PARTS = 1000, 50_000
 #: words that one Python process remembers
 CACHE = 500_000
 
@@ -338,9 +338,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Da
     counts = np.zeros(capacity, np.int64)
     for length, n in sizes.items():
         counts[length - 1] = n
+    ranked = max(ranked, int(counts.sum()) // PARTS)
     salts = spark.createDataFrame([(int(n), int(-(-k // ranked))) for n, k in sizes.items()], "_of long, _salts long")
     salted = found.join(F.broadcast(salts), F.col("length") == F.col("_of")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.col("_salts"))).drop("_of", "_salts")
-    # a row for each length, and one for each ``ranked`` pieces
+    # a row for each length, and one for each ``ranked`` pieces: PARTS more at most
     cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])
     cell_key = cells["length"].to_numpy(np.int64) << 32 | cells["_salt"].to_numpy(np.int64)
     before = cells["n"].to_numpy(np.int64).cumsum() - cells["n"].to_numpy(np.int64)
