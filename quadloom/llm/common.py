@@ -141,8 +141,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Lets a batch that goes to Python hold 1000 rows or 16 MB, whichever is less, as texts may be long; smaller settings of the session stay."""
-    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+    """Lets a batch that goes to Python hold 1000 rows or 4 MB, whichever is less, as texts may be long; smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
