@@ -9,10 +9,13 @@ Where things are.  *Chunks* are some whole documents as numbers of words, and
 restaurant and its parent always lie together, and a word's root customers are
 summed by the word.  Chunks send their different trigrams with counts and get
 probabilities back, so the commonest trigram is one entry of a chunk.  A
-previous word with more than ``share / 2`` tokens is divided by the word before
-it, and a pair with as many by chunks, into branches that are restaurants of
-their own and still have as many customers as a share holds; so no share grows
-with a hot word, and nothing but a few sums reaches the driver.
+previous word with more than ``share / 2`` tokens is spread over shares by the
+word before it, and a pair with as many by the word after it; so no share grows
+with a hot word, and nothing but a few sums reaches the driver.  Spreading moves
+work, not the model: such a word or pair stays one restaurant.  The dishes of
+its pieces are summed by their word, where the root's customers are too, and are
+seated there; pieces get back each dish's customers and tables, and the sums of
+the restaurant.
 
 Seating.  A Gibbs step takes all customers of a word away from a restaurant and
 from its children and seats them again one after another by the Chinese
@@ -22,7 +25,7 @@ and costs as many steps as there are tables.  As the rule is myopic, a seating
 is accepted by the ratio of its predictive products; those of the state before
 are as they were when it was made.  Half of the words of a share are seated at
 once given the other half.  Root probabilities, without the tables of the word that is
-seated, are those of the last exchange; in the first sweep each share has a root of its own.  Discounts come from the counts of ones
+seated, and what other pieces hold, are those of the last exchange; in the first sweep each share has a root of its own, and each piece is a restaurant.  Discounts come from the counts of ones
 and twos of their level, concentrations are sampled with auxiliary variables.
 
 Predictive probabilities are averaged over ``sweeps`` states after the burn-in;
@@ -60,6 +63,9 @@ GRAIN = 2.0**-12
 START = mix(np.array([0x57A], np.uint64))[0]
 END = mix(np.array([0xE0D], np.uint64))[0]
 
+#: bits of a place that tell the piece of a previous word, 0 where it is whole; the top bit marks pieces of pairs
+PIECE = (1 << 20) - 1
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64
@@ -111,6 +117,23 @@ def _same(key: int) -> int:
     return key
 
 
+def _limit(share: int) -> int:
+    """Training tokens beyond which a previous word, or a pair, is spread over shares."""
+    return max(share // 2, 1)
+
+
+def _pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(mix(u) + v) | _U(1)
+
+
+def _of(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The values of some of the sorted keys, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(x), values.dtype)
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[i] == x, values[i], 0)
+
+
 def _by_chunk(chunk: int) -> int:
     return chunk * 0x9E3779B97F4A7C15 >> 24 & 0x7FFFFFFF
 
@@ -235,6 +258,9 @@ class Seating:
         self.first = np.searchsorted(dish[self.several], np.arange(len(up) + 1))
         self.single = np.bincount(dish, weights=self.c == 1, minlength=len(up))
         self.single_of = np.bincount(of, weights=self.c == 1, minlength=self.n_of)
+        #: dishes and restaurants that have other pieces elsewhere, and what those hold as far as it is known
+        self.shared, self.apart = np.zeros(len(up), bool), np.zeros(self.n_of, bool)
+        self.c_else, self.all_else, self.tables1_else, self.tables_else = np.zeros(len(up)), np.zeros(self.n_up), np.zeros(self.n_up), np.zeros(self.n_of)
         self.t1 = np.minimum(self.customers_up(), 1.0)
         #: dishes with many such rows, or many customers in one: their rows are seated all at once
         most = np.zeros(len(up))
@@ -245,16 +271,30 @@ class Seating:
         self.log_z = np.full(len(up), -np.inf)
         self.row_log_z = np.full(len(self.crowd), -np.inf)
 
+    def join(self, c1: np.ndarray, t1: np.ndarray, all1: np.ndarray, tables1: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> None:
+        """Makes pieces parts of whole restaurants: customers and tables of shared dishes, and the sums of restaurants, both where not nan."""
+        self.c_else[self.shared] = np.maximum(c1 - self.customers_up()[self.shared], 0)
+        self.t1[self.shared] = t1
+        tables_here, _, all_here, tables1_here = self.totals()
+        self.all_else, self.tables1_else = np.nan_to_num(all1 - all_here), np.nan_to_num(tables1 - tables1_here)
+        self.tables_else[self.apart], self.all[self.apart] = tables - tables_here[self.apart], customers
+        # tables of shared dishes stay, so their rows are seated given all others
+        self.many |= self.shared
+        self.free &= ~self.shared
+        self.crowd = np.flatnonzero(self.many[self.dish[self.several]])
+        self.row_log_z = np.full(len(self.crowd), -np.inf)
+
     def customers_up(self) -> np.ndarray:
-        return self.single + np.bincount(self.dish[self.several], weights=self.t[self.several], minlength=len(self.up))
+        return self.c_else + self.single + np.bincount(self.dish[self.several], weights=self.t[self.several], minlength=len(self.up))
 
     def tables_of(self) -> np.ndarray:
-        return self.single_of + np.bincount(self.of[self.several], weights=self.t[self.several], minlength=self.n_of)
+        return self.tables_else + self.single_of + np.bincount(self.of[self.several], weights=self.t[self.several], minlength=self.n_of)
 
     def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tables of each restaurant, customers of each dish above, of each restaurant above, its tables)."""
         c1 = self.customers_up()
-        return self.tables_of(), c1, np.bincount(self.up, weights=c1, minlength=self.n_up), np.bincount(self.up, weights=self.t1, minlength=self.n_up)
+        all1, tables1 = (np.bincount(self.up, weights=x, minlength=self.n_up) for x in (c1, self.t1))
+        return self.tables_of(), c1, all1 + self.all_else, tables1 + self.tables1_else
 
     def local_root(self, base: float) -> Root:
         """A root that only knows these restaurants."""
@@ -271,7 +311,7 @@ class Seating:
             if crowd.any():
                 self._reseat_rows(rng, np.flatnonzero(crowd & half), low, high, p0)
                 self._reseat_rows(rng, np.flatnonzero(crowd & ~half), low, high, p0)
-                who = np.flatnonzero(now & self.many)
+                who = np.flatnonzero(now & self.many & ~self.shared)
                 _, c1, _, tables1 = self.totals()
                 self.t1[who] = seat(rng, c1[who], high.theta, high.discount, tables1[self.up[who]] - self.t1[who], p0[who])[0]
 
@@ -286,6 +326,7 @@ class Seating:
         take = np.log(rng.random(len(row)) + 1e-300) < z - self.row_log_z[at]
         self.t[row[take]] = t[take]
         self.row_log_z[at[take]] = z[take]
+        dish = dish[~self.shared[dish]]
         self.t1[dish] = np.minimum(self.t1[dish], self.customers_up()[dish])
 
     def _reseat(self, rng: np.random.Generator, who: np.ndarray, low: Level, high: Level, p0: np.ndarray) -> None:
@@ -338,17 +379,22 @@ class Seating:
         p1 = (c1 - high.discount * self.t1 + (high.theta + high.discount * tables1[self.up]) * p0) / (high.theta + all1[self.up])
         return (self.c - low.discount * self.t + (low.theta + low.discount * tables[self.of]) * p1[self.dish]) / (low.theta + self.all[self.of])
 
-    def ones_and_twos(self) -> np.ndarray:
+    def ones_and_twos(self, whole: bool = False) -> np.ndarray:
+        """Rows, and dishes above, with one and two customers; of ``whole`` dishes only, if asked."""
         c1 = self.customers_up()
+        if whole:
+            c1 = c1[~self.shared]
         return np.array([(self.c == 1).sum(), (self.c == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum()], float)
 
     def auxiliary(self, k: int, low: Level, high: Level) -> np.ndarray:
-        """Sums of the auxiliary variables of both concentrations: successes, and minus the logarithms."""
+        """Sums of the auxiliary variables of both concentrations over whole restaurants: successes, and minus the logarithms."""
         rng = np.random.Generator(np.random.PCG64([self.seed, k, 7]))
         tables, _, all1, tables1 = self.totals()
+        divided = np.zeros(self.n_up, bool)
+        divided[self.up[self.shared]] = True
         out = []
-        for level, c, t in ((low, self.all, tables), (high, all1, tables1)):
-            some = c > 1
+        for level, c, t, there in ((low, self.all, tables, ~self.apart), (high, all1, tables1, ~divided)):
+            some = (c > 1) & there
             c, t = c[some], t[some].astype(np.int64)
             i = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
             i = i[i > 0]
@@ -356,6 +402,14 @@ class Seating:
         return np.array(out, float)
 
 
+def _mean_auxiliary(rng: np.random.Generator, level: Level, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """As ``Seating.auxiliary``, for a few large restaurants: the successes are their mean, without a draw for each table."""
+    c, t = c[c > 1], t[c > 1]
+    lo, hi = level.theta / level.discount + 1, level.theta / level.discount + np.maximum(t, 1)
+    digamma = lambda x: np.log(x) - 1 / (2 * x) - 1 / (12 * x * x)
+    return np.array([(level.theta / level.discount * (digamma(hi) - digamma(lo))).sum(), -np.log(rng.beta(level.theta + 1, c - 1) + 1e-300).sum()])
+
+
 # ---- chunks
 
 
@@ -412,14 +466,14 @@ class Chunk:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """What is counted over all chunks: the words, the start, and the pairs met often; and their counts here in training."""
         word = np.append(self.word, START)
-        pair = mix(mix(word[self.pair // self.n_words]) + word[self.pair % self.n_words]) | _U(1)
+        pair = _pair_key(word[self.pair // self.n_words], word[self.pair % self.n_words])
         # words have even keys, pairs odd ones
         return np.concatenate([word & ~_U(1), pair]), np.concatenate([self.count, [(~self.held).sum()], self.times]).astype(np.uint32)
 
-    def trigrams(self, number: np.ndarray, seen: np.ndarray, share: int, shares: int) -> tuple[np.ndarray, ...]:
-        """(share, parent, word before, word, training count) of each different trigram, by share and parent, and which one each token is.
+    def trigrams(self, number: np.ndarray, seen: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], share: int, shares: int) -> tuple[np.ndarray, ...]:
+        """(share, place of the parent, word before, word, training count) of each different trigram, by share and place, and which one each token is.
 
-        ``number`` and ``seen`` are what the exchange told of ``keys()``.
+        ``number`` and ``seen`` are what the exchange told of words, ``pairs`` the keys and counts of all hot pairs.
         """
         first = np.cumsum(self.length) - self.length
         before, second = np.roll(self.token, 1), np.roll(self.token, 2)
@@ -435,25 +489,23 @@ class Chunk:
             key, at = np.unique(at << 31 | self.token, return_inverse=True)
             v, u, w = pair[key >> 31] >> 31, pair[key >> 31] & (1 << 31) - 1, key & (1 << 31) - 1
         count = np.bincount(at[np.repeat(~self.held, self.length)], minlength=len(key))
-        # branches of hot words and hot pairs
-        limit, n = max(share // 2, 1), self.n_words + 1
+        # pieces of hot words and hot pairs; all chunks place a trigram alike
+        limit = _limit(share)
         parent = number[v] << _U(20)
         hot = np.flatnonzero(seen[v] > limit)
         if len(hot):
-            branches = np.minimum(-(-seen[v[hot]] // limit), (1 << 20) - 1).astype(np.uint64)
-            parent[hot] += mix(number[u[hot]]) % branches + _U(1)
-            pair = np.zeros(len(hot), np.int64)
-            if self.n_pairs:
-                # v follows u
-                of = u[hot] * self.n_words + v[hot]
-                i = np.minimum(np.searchsorted(self.pair, of), self.n_pairs - 1)
-                pair = np.where((self.pair[i] == of) & (v[hot] < self.n_words), seen[n + i], 0)
+            hot_u, hot_v = u[hot], v[hot]
+            mixed = mix(number)
+            pieces = np.minimum(-(-seen[hot_v] // limit), PIECE).astype(np.uint64)
+            parent[hot] += mixed[hot_u] % pieces + _U(1)
+            word = np.append(self.word, START)
+            times = _of(pairs[0], pairs[1], _pair_key(word[hot_u], word[hot_v]))
             # all texts begin alike
-            pair = np.where((v[hot] == self.n_words) & (u[hot] == self.n_words), seen[self.n_words], pair)
-            much = pair > limit
-            group = mix(np.full(1, self.chunk, np.uint64))[0] % np.maximum(-(-pair // limit), 1).astype(np.uint64)
-            own = mix(mix(number[v[hot]] * _U(4) + _U(2)) + number[u[hot]] * _U(1 << 20) + group) | _U(1 << 63)
-            parent[hot] = np.where(much, own, parent[hot])
+            times = np.where((hot_v == self.n_words) & (hot_u == self.n_words), seen[self.n_words], times)
+            much = np.flatnonzero(times > limit)
+            group = mixed[w[hot[much]]] % (-(-times[much] // limit)).astype(np.uint64)
+            at_piece = mix(mixed[hot_u[much]] + group) & _U(PIECE) | _U(1)
+            parent[hot[much]] = _U(1 << 63) | number[hot_v[much]] << _U(20) | at_piece
         # by share, then in the order of numbers, whose differences take little room
         run = _runs(parent)
         first_of, size = run[:-1], np.diff(run)
@@ -467,12 +519,17 @@ class Chunk:
         return to, parent[order], number[u[order]], number[w[order]], count[order], back[at]
 
 
-def _numbers(items: Iterator[tuple], parts: int) -> Iterator[tuple]:
-    """Sums of the keys that chunks ask for, sent back in the order of each; words get numbers, small ones for common words and 0 where training lacks them."""
+def _sum(kind: str, keys: np.ndarray | list, *values: np.ndarray | list) -> tuple:
+    """Something to be summed by key over all partitions."""
+    return -1, ("sum", kind, np.asarray(keys, np.uint64), np.array(values, float).reshape(len(values), -1))
+
+
+def _numbers(items: Iterator[tuple], parts: int, limit: int) -> Iterator[tuple]:
+    """Sums of the keys that chunks ask for; words get numbers, small ones for common words and 0 where training lacks them, sent back in the order of each chunk."""
     asked = sorted((k, *x[1:]) for k, x in items)
     for lo, hi in zip((cut := _runs(np.array([a[0] for a in asked], np.int64)))[:-1], cut[1:], strict=True):
         part = asked[lo][0]
-        got = [_unpack(blob, (np.uint64, n), (np.uint32, n)) for _, _, n, blob in asked[lo:hi]]
+        got = [_unpack(blob, (np.uint64, n), (np.uint32, n)) for _, _, n, _, blob in asked[lo:hi]]
         key, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([g[1] for g in got])).astype(np.uint64)
         word = (key & _U(1)) == 0
@@ -481,11 +538,14 @@ def _numbers(items: Iterator[tuple], parts: int) -> Iterator[tuple]:
         number = np.where(word & (total > 0), rank * _U(parts) + _U(part + 1), 0).astype(np.uint64)
         real = word & (key != (START & ~_U(1)))
         c = total[real]
-        yield -1, ("sums", np.array([c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()], float))
+        yield _sum("words", [0], [c.sum()], [(c > 0).sum()], [(c == 1).sum()], [(c == 2).sum()])
+        hot = ~word & (total > limit)
+        yield _sum("pairs", key[hot], total[hot])
         i = 0
-        for _, chunk, n, _ in asked[lo:hi]:
-            j = at[i : i + n]
-            yield chunk, ("told", part, n, _pack(number[j], total[j]))
+        for _, chunk, n, words, _ in asked[lo:hi]:
+            # words come before pairs
+            j = at[i : i + words]
+            yield chunk, ("told", part, words, _pack(number[j], total[j]))
             i += n
 
 
@@ -498,11 +558,11 @@ def _asks(items: Iterator[tuple], parts: int) -> Iterator[tuple]:
         cut = _runs(to[order])
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             i = order[lo:hi]
-            yield int(to[i[0]]), ("ask", c.chunk, int(hi - lo), _pack(key[i], count[i]))
+            yield int(to[i[0]]), ("ask", c.chunk, int(hi - lo), int((i <= c.n_words).sum()), _pack(key[i], count[i]))
 
 
-def _known_chunks(items: Iterator[tuple], parts: int, share: int, shares: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, tuple, list]]:
-    """Each chunk of a partition with its words' numbers, its keys' counts, its trigrams, and the answers to these."""
+def _known_chunks(items: Iterator[tuple], parts: int, pairs: tuple, share: int, shares: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, tuple, list]]:
+    """Each chunk of a partition with its words' numbers and counts, its trigrams, and the answers to these."""
     rows, told, answers = [], {}, {}
     for key, x in items:
         if x[0] == "chunk":
@@ -513,17 +573,17 @@ def _known_chunks(items: Iterator[tuple], parts: int, share: int, shares: int) -
             answers.setdefault(key, []).append(x[1:])
     for row in sorted(rows):
         c = Chunk(*row)
-        key = c.keys()[0]
+        key = c.keys()[0][: c.n_words + 1]
         order = np.argsort(key // _U(2) % _U(parts), kind="stable")
         got = [_unpack(blob, (np.uint64, n), (np.uint64, n)) for _, n, blob in sorted(told.pop(c.chunk))]
         number, seen = np.empty(len(key), np.uint64), np.empty(len(key), np.int64)
         number[order] = np.concatenate([g[0] for g in got])
         seen[order] = np.concatenate([g[1] for g in got]).astype(np.int64)
-        yield c, number, seen, c.trigrams(number, seen, share, shares), sorted(answers.pop(c.chunk, []))
+        yield c, number, seen, c.trigrams(number, seen, pairs, share, shares), sorted(answers.pop(c.chunk, []))
 
 
-def _posted(items: Iterator[tuple], parts: int, shares: int, share: int) -> Iterator[tuple]:
-    for c, _, _, (to, parent, u, w, count, _), _ in _known_chunks(items, parts, share, shares):
+def _posted(items: Iterator[tuple], parts: int, pairs: tuple, shares: int, share: int) -> Iterator[tuple]:
+    for c, _, _, (to, parent, u, w, count, _), _ in _known_chunks(items, parts, pairs, share, shares):
         cut = _runs(to)
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             run = _runs(parent[lo:hi])
@@ -564,28 +624,57 @@ class Share:
         dish, of_dish = np.unique(at << bits | w, return_inverse=True)
         words, word = _places(dish & (1 << bits) - 1)
         self.words = known[words]
-        self.seating = Seating(np.cumsum(new) - 1, of_dish, dish >> bits, word, customers, int(known.sum() % _U(1 << 31)) + n)
+        x = self.seating = Seating(np.cumsum(new) - 1, of_dish, dish >> bits, word, customers, int(known.sum() % _U(1 << 31)) + n)
+        # previous words, and the restaurants that are pieces
+        self.before = (parents & _U((1 << 63) - 1)) >> _U(20)
+        self.divided = (parents & _U(PIECE)) > 0
+        x.shared = self.divided[x.up]
+        first = np.flatnonzero(new)
+        x.apart = parents[at[first]] >> _U(63) > 0
+        first = first[x.apart]
+        self.pairs = mix(mix(self.before[at[first]]) + known[u[first]])
 
     def ask(self, share: int, parts: int) -> Iterator[tuple]:
-        """Each word's tables here, for its place in the root; the word without a number has none."""
-        t = np.bincount(self.seating.word, weights=self.seating.t1, minlength=len(self.words)).astype(np.uint32)
-        to = self.words % _U(parts)
+        """Each word's tables here, and its customers in pieces, for its place in the root; the word without a number has none."""
+        x = self.seating
+        t = np.bincount(x.word, weights=np.where(x.shared, 0, x.t1), minlength=len(self.words)).astype(np.uint32)
+        for to, i in self._order(self.words, parts):
+            yield to, ("ask", share, len(i), _pack(self.words[i] // _U(parts), t[i]))
+        dish = np.flatnonzero(x.shared)
+        word, before, c1 = self.words[x.word[dish]], self.before[x.up[dish]], x.customers_up()[dish].astype(np.uint32)
+        for to, i in self._order(word, parts):
+            yield to, ("dish", share, len(i), _pack(before[i], word[i] // _U(parts), c1[i]))
+        tables = x.tables_of()[x.apart]
+        yield _sum("pairs", self.pairs, x.all[x.apart], tables)
+
+    @staticmethod
+    def _order(words: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The places of words in the root, and which ones are there; the word without a number is nowhere."""
+        to = words % _U(parts)
         order = np.argsort(to, kind="stable")
-        order = order[self.words[order] > 0]
+        order = order[words[order] > 0]
         cut = _runs(to[order])
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            i = order[lo:hi]
-            yield int(to[i[0]]), ("ask", share, int(hi - lo), _pack(self.words[i] // _U(parts), t[i]))
+            yield int(to[order[lo]]), order[lo:hi]
+
+    def join(self, rows: list[tuple[int, int, bytes]], parts: int, ups: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> None:
+        """Takes in what is known of whole restaurants: of their dishes, and the sums (customers, tables) by previous word and by pair."""
+        x = self.seating
+        dish = np.flatnonzero(x.shared)
+        c, t = self._back(self.words[x.word[dish]], rows, parts)
+        all1, tables1 = (np.where(self.divided, _of(ups[0], v, self.before), np.nan) for v in ups[1])
+        x.join(c, t, all1, tables1, *(_of(pairs[0], v, self.pairs) for v in pairs[1]))
 
     def told(self, rows: list[tuple[int, int, bytes]], parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables in the root of each word."""
-        c, t = np.zeros(len(self.words)), np.zeros(len(self.words))
-        to = self.words % _U(parts)
-        order = np.argsort(to, kind="stable")
-        order = order[self.words[order] > 0]
-        got = [_unpack(blob, (np.uint32, n), (np.float32, n)) for _, n, blob in sorted(rows)]
-        if got:
-            c[order], t[order] = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        return self._back(self.words, rows, parts)
+
+    def _back(self, words: np.ndarray, rows: list[tuple[int, int, bytes]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        c, t = np.zeros(len(words)), np.zeros(len(words))
+        order = [i for _, i in self._order(words, parts)]
+        got = [_unpack(blob, (np.float32, n), (np.float32, n)) for _, n, blob in sorted(rows)]
+        for i, (c_here, t_here) in zip(order, got, strict=True):
+            c[i], t[i] = c_here, t_here
         return c, t
 
     def without_own(self, root: Root, c: np.ndarray, t: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -594,29 +683,86 @@ class Share:
         return root.of(rest, np.minimum(t[self.seating.word], rest))
 
 
-def _root(items: Iterator[tuple], level: Level, tables: float, base: float, samples: int, seed: int) -> Iterator[tuple]:
-    """Seats what shares send of each word in the root, ``samples`` times, and sends back customers and mean tables."""
-    asked = sorted((k, *x[1:]) for k, x in items)
-    cut = _runs(np.array([a[0] for a in asked], np.int64))
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        part = asked[lo][0]
-        got = [_unpack(blob, (np.uint64, n), (np.uint32, n)) for _, _, n, blob in asked[lo:hi]]
+def _dishes(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of dishes in one place of the root, summed: (previous words, which of them, word, customers of each dish, and which dish each piece is)."""
+    got = [_unpack(blob, (np.uint64, n), (np.uint64, n), (np.uint32, n)) for _, _, n, blob in rows]
+    v, w, c = (np.concatenate([g[i] for g in got]) if got else np.empty(0, np.uint64) for i in range(3))
+    before, of = np.unique(v, return_inverse=True)
+    key, at = np.unique(of.astype(np.uint64) << _U(40) | w, return_inverse=True)
+    return before, (key >> _U(40)).astype(np.int64), key & _U((1 << 40) - 1), np.bincount(at, weights=c, minlength=len(key)), at
+
+
+def _by_place(items: Iterator[tuple], *kinds: str) -> Iterator[tuple[int, list[list[tuple]]]]:
+    """Each place of a partition with what came for it, of each kind in the order of shares."""
+    by: dict[int, dict[str, list]] = {}
+    for key, x in items:
+        if x[0] in kinds:
+            by.setdefault(key, {}).setdefault(x[0], []).append(x)
+    for key in sorted(by):
+        yield key, [sorted(by[key].get(kind, []), key=lambda x: x[1]) for kind in kinds]
+
+
+def _met(items: Iterator[tuple]) -> Iterator[tuple]:
+    """Sums of shared dishes: (customers, dishes) by previous word, and how many have one or two customers; other sums pass."""
+    rows = []
+    for key, x in items:
+        if x[0] == "sum":
+            yield key, x
+        elif x[0] == "dish":
+            rows.append((key, x))
+    for _, [dishes] in _by_place(iter(rows), "dish"):
+        before, of, _, c, _ = _dishes(dishes)
+        yield _sum("ups", before, np.bincount(of, weights=c, minlength=len(before)), np.bincount(of, weights=c > 0, minlength=len(before)))
+        yield _sum("shared", [0], [(c == 1).sum()], [(c == 2).sum()])
+
+
+def _root(items: Iterator[tuple], level: Level, tables: float, base: float, samples: int, seed: int, high: Level, ups: tuple[np.ndarray, np.ndarray], whole: float) -> Iterator[tuple]:
+    """Seats shared dishes, and what they and shares send of each word in the root, ``samples`` times, and sends back customers and mean tables.
+
+    ``ups`` has customers and dishes of previous words with shared dishes,
+    ``whole`` is how many customers of the root come from all others.  Words of
+    a place are as good as a random part: sums over all are judged by theirs.
+    """
+    for part, (asked, dishes) in _by_place(items, "ask", "dish"):
+        got = [_unpack(blob, (np.uint64, n), (np.uint32, n)) for _, _, n, blob in asked]
         key, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([g[1] for g in got]))
+        sent = np.bincount(at, weights=np.concatenate([g[1] for g in got]))
+        before, of, word, c1, at1 = _dishes(dishes)
+        word, known = np.searchsorted(key, word), _of(ups[0], ups[1][1], before)
+        here = np.maximum(np.bincount(of, weights=c1 > 0, minlength=len(before)), 1)
         rng = np.random.Generator(np.random.PCG64([seed, part]))
-        t, z = np.zeros(len(c)), None
-        now = np.minimum(c, 1.0)
+        now1, z1, mean1 = np.minimum(c1, 1.0), np.full(len(c1), -np.inf), np.zeros(len(c1))
+        c = sent + np.bincount(word, weights=now1, minlength=len(key))
+        now, z, t, mean = np.minimum(c, 1.0), np.full(len(c), -np.inf), np.zeros(len(c)), np.zeros(len(c))
         for _ in range(samples):
+            if len(c1):
+                all_tables = known * np.bincount(of, weights=now1, minlength=len(before)) / here
+                rest = np.maximum(c[word] - now1, 0)
+                p = Root(level, whole + all_tables.sum() + _rest(ups, before), tables, base).of(rest, np.minimum(now[word], rest))
+                next_t, next_z = seat(rng, c1, high.theta, high.discount, np.maximum(all_tables[of] - now1, 0), p)
+                take = np.log(rng.random(len(c1)) + 1e-300) < next_z - z1
+                now1, z1 = np.where(take, next_t, now1), np.where(take, next_z, z1)
+                last, c = c, sent + np.bincount(word, weights=now1, minlength=len(key))
+                z[c != last] = -np.inf
             next_t, next_z = seat(rng, c, level.theta, level.discount, np.maximum(tables - now, 0), np.full(len(c), base))
-            take = np.ones(len(c), bool) if z is None else np.log(rng.random(len(c)) + 1e-300) < next_z - z
-            now, z = np.where(take, next_t, now), np.where(take, next_z, next_z if z is None else z)
+            take = np.log(rng.random(len(c)) + 1e-300) < next_z - z
+            now, z = np.where(take, next_t, now), np.where(take, next_z, z)
             t += now / samples
-        yield -1, ("sums", np.array([c.sum(), t.sum()]))
-        i = 0
-        for _, share, n, _ in asked[lo:hi]:
-            j = at[i : i + n]
-            yield share, ("root", part, n, _pack(c[j].astype(np.uint32), t[j].astype(np.float32)))
-            i += n
+            mean += c / samples
+            mean1 += now1 / samples
+        yield _sum("root", [0], [mean.sum()], [t.sum()])
+        yield _sum("ups", before, np.bincount(of, weights=mean1, minlength=len(before)))
+        for rows, place, kind, x, y in ((asked, at, "root", mean, t), (dishes, at1, "dish", c1, mean1)):
+            i = 0
+            for _, share, n, _ in rows:
+                j = place[i : i + n]
+                yield share, (kind, part, n, _pack(x[j].astype(np.float32), y[j].astype(np.float32)))
+                i += n
+
+
+def _rest(ups: tuple[np.ndarray, np.ndarray], before: np.ndarray) -> float:
+    """Dishes of the previous words that have none in a place."""
+    return float(ups[1][1].sum() - _of(ups[0], ups[1][1], before).sum())
 
 
 def _shares(items: Iterator[tuple]) -> Iterator[tuple[int, Share, dict[str, list]]]:
@@ -630,17 +776,23 @@ def _shares(items: Iterator[tuple]) -> Iterator[tuple[int, Share, dict[str, list
         yield key, Share(got.pop("post")), got
 
 
-def _total(rdd: RDD, size: int) -> np.ndarray:
-    """The sums that partitions send along, a few numbers each."""
+def _total(rdd: RDD, **widths: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """What partitions send along to be summed, of each kind (sorted keys, rows of sums): a few numbers, and some for each hot word and pair."""
+
+    def add(*parts: dict[str, tuple]) -> dict[str, tuple]:
+        out = {}
+        for kind in widths:
+            key, at = np.unique(np.concatenate([p[kind][0] for p in parts]), return_inverse=True)
+            values = np.concatenate([p[kind][1] for p in parts], axis=1)
+            out[kind] = key, np.array([np.bincount(at, weights=v, minlength=len(key)) for v in values])
+        return out
+
+    none = {kind: (np.empty(0, np.uint64), np.empty((n, 0))) for kind, n in widths.items()}
 
-    def some(items: Iterator[tuple]) -> Iterator[np.ndarray]:
-        out = np.zeros(size)
-        for _, x in items:
-            if x[0] == "sums":
-                out += x[1]
-        yield out
+    def some(items: Iterator[tuple]) -> Iterator[dict[str, tuple]]:
+        yield add(none, *({**none, x[1]: x[2:]} for _, x in items if x[0] == "sum"))
 
-    return rdd.mapPartitions(some).treeAggregate(np.zeros(size), np.add, np.add)
+    return rdd.mapPartitions(some).treeAggregate(none, add, add)
 
 
 def _discount(ones: float, twos: float) -> float:
@@ -668,10 +820,12 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, share: int = SHARE, chunk: int
     places, shares = max(1, -(-int(entries) // (2 * share))), max(1, -(-int(n_all) // share))
 
     asked = chunks.mapPartitions(lambda it: _asks(it, places)).partitionBy(places, _same)
-    numbers = asked.mapPartitions(lambda it: _numbers(it, places)).partitionBy(homes, _by_chunk)
-    n, v, ones, twos = map(int, _total(numbers, 4))
+    numbers = asked.mapPartitions(lambda it: _numbers(it, places, _limit(share))).partitionBy(homes, _by_chunk)
+    got = _total(numbers, words=4, pairs=1)
+    n, v, ones, twos = map(int, got["words"][1].sum(axis=1))
+    hot = got["pairs"][0], got["pairs"][1][0].astype(np.int64)
     known = chunks.union(numbers)
-    posts = known.mapPartitions(lambda it: _posted(it, places, shares, share)).partitionBy(shares, _same)
+    posts = known.mapPartitions(lambda it: _posted(it, places, hot, shares, share)).partitionBy(shares, _same)
     base = 1.0 / (v + 1)
     top = Level(_discount(ones, twos), 10.0)
 
@@ -685,18 +839,24 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, share: int = SHARE, chunk: int
             p0 = s.without_own(x.local_root(base), c, np.minimum(c, 1.0), x.t1)
             for k in range(BURN[0]):
                 x.sweep(k, low, high, p0)
-            yield -1, ("sums", np.concatenate([counts, x.auxiliary(0, low, high)]))
+            yield _sum("whole", [0], *np.append(np.concatenate([x.ones_and_twos(whole=True), x.auxiliary(0, low, high)]), x.t1[~x.shared].sum())[:, None])
             yield from s.ask(key, places)
             yield key, ("state", len(x.several), len(x.t1), _pack(x.t[x.several].astype(np.uint32), x.t1.astype(np.uint32)))
 
     # sums and tables go to the root; states only pass there, on the way back to their share
     given = posts.mapPartitions(burn).partitionBy(places, _same)
-    ones2, twos2, ones1, twos1, y2, l2, y1, l1 = _total(given, 8)
+    got = _total(given.mapPartitions(_met), whole=9, shared=2, ups=2, pairs=2)
+    ups, pairs = got["ups"], got["pairs"]
+    ones2, twos2, ones1, twos1, y2, l2, y1, l1, whole = map(float, got["whole"][1].sum(axis=1))
+    more1, more2 = got["shared"][1].sum(axis=1)
     rng = np.random.Generator(np.random.PCG64(1))
-    low = Level(_discount(ones2, twos2), float(rng.gamma(1 + y2) / (1 + l2)))
-    high = Level(_discount(ones1, twos1), float(rng.gamma(1 + y1) / (1 + l1)))
-    roots = given.filter(lambda x: x[1][0] == "ask").mapPartitions(lambda it: _root(it, top, v, base, sweeps, 1)).partitionBy(shares, _same)
-    root = Root(top, *_total(roots, 2), base)
+    low, high = Level(_discount(ones2, twos2), 1.0), Level(_discount(ones1 + more1, twos1 + more2), 1.0)
+    (y2, l2), (y1, l1) = _mean_auxiliary(rng, low, *pairs[1]) + (y2, l2), _mean_auxiliary(rng, high, *ups[1]) + (y1, l1)
+    low.theta, high.theta = float(rng.gamma(1 + y2) / (1 + l2)), float(rng.gamma(1 + y1) / (1 + l1))
+    roots = given.mapPartitions(lambda it: _root(it, top, v, base, sweeps, 1, high, ups, whole)).partitionBy(shares, _same)
+    got = _total(roots, root=2, ups=1)
+    root = Root(top, *map(float, got["root"][1].sum(axis=1)), base)
+    sums = ups[0], np.array([ups[1][0], _of(got["ups"][0], got["ups"][1][0], ups[0])])
     states = given.filter(lambda x: x[1][0] == "state").partitionBy(shares, _same)
 
     def last(items: Iterator[tuple]) -> Iterator[tuple]:
@@ -704,6 +864,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, share: int = SHARE, chunk: int
             x = s.seating
             [(n1, n2, blob)] = got["state"]
             x.t[x.several], x.t1[:] = _unpack(blob, (np.uint32, n1), (np.uint32, n2))
+            s.join(got.get("dish", []), places, sums, pairs)
             c, t = s.told(got.get("root", []), places)
             without, full = s.without_own(root, c, t, x.t1), root.of(c, t)[x.word]
             p = np.zeros(len(x.c))
@@ -721,7 +882,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, share: int = SHARE, chunk: int
     smooth = n + 0.5 * (v + 1)
 
     def scored(items: Iterator[tuple]) -> Iterator[tuple]:
-        for c, number, seen, (_, _, _, _, _, at), got in _known_chunks(items, places, share, shares):
+        for c, number, seen, (_, _, _, _, _, at), got in _known_chunks(items, places, hot, share, shares):
             log_p = np.concatenate([_unpack(blob, (np.uint32, size))[0] for _, size, blob in got]) * -GRAIN
             count = np.where(number[: c.n_words] > 0, seen[: c.n_words], 0)[c.token]
             first = np.cumsum(c.length) - c.length

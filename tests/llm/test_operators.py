@@ -443,6 +443,23 @@ def test_pitman_yor_has_a_restaurant_for_each_context(spark, share):
     assert sum(x["score"] for x in r) > (0.2 if share > 100 else 0.95) * sum(x["base_score"] for x in r)
 
 
+def test_pitman_yor_scores_do_not_hang_on_where_a_hot_word_lies(spark):
+    """A previous word and a pair with more tokens than half a share are still one restaurant each."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(500):
+        w = []
+        for _ in range(15):
+            # rarely the same word twice before the hot one, and a hot pair with words of its own
+            w += [f"x{rng.randrange(5000)}", "the", f"y{min(rng.randrange(60), rng.randrange(60))}", "of", "the", f"z{min(rng.randrange(60), rng.randrange(60))}"]
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole, spread = ({x["doc_id"]: x["score"] for x in pitman_yor.score(docs, share=share, chunk=2000).collect()} for share in (pitman_yor.SHARE, 400))
+    held = [d for d in whole if zlib.crc32(str(d).encode()) % 5 == 1]
+    assert abs(sum(spread[d] for d in held) / sum(whole[d] for d in held) - 1) < 0.01
+    assert max(abs(spread[d] / whole[d] - 1) for d in whole) < 0.05
+
+
 def test_pitman_yor_probabilities_sum_to_one():
     # two pairs of words before, under one previous word; words 0 to 2, and unknown ones
     of, word = np.repeat([0, 1], 4), np.tile([0, 1, 2, 3], 2)
