@@ -267,22 +267,28 @@ class Seating:
         np.maximum.at(most, dish[self.several], self.c[self.several])
         self.many = (np.diff(self.first) > MANY) | (most > 4 * MANY)
         self.free = (np.bincount(dish, weights=self.c, minlength=len(up)) > 1) & ~self.many
-        self.crowd = np.flatnonzero(self.many[dish[self.several]])
         self.log_z = np.full(len(up), -np.inf)
+        self._gather()
+        self.count()
+
+    def _gather(self) -> None:
+        """Finds the rows of dishes with many, which have not been seated yet."""
+        self.crowd = np.flatnonzero(self.many[self.dish[self.several]])
+        self.crowd_dish = self.dish[self.several[self.crowd]]
         self.row_log_z = np.full(len(self.crowd), -np.inf)
 
     def join(self, c1: np.ndarray, t1: np.ndarray, all1: np.ndarray, tables1: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> None:
         """Makes pieces parts of whole restaurants: customers and tables of shared dishes, and the sums of restaurants, both where not nan."""
         self.c_else[self.shared] = np.maximum(c1 - self.customers_up()[self.shared], 0)
         self.t1[self.shared] = t1
-        tables_here, _, all_here, tables1_here = self.totals()
-        self.all_else, self.tables1_else = np.nan_to_num(all1 - all_here), np.nan_to_num(tables1 - tables1_here)
-        self.tables_else[self.apart], self.all[self.apart] = tables - tables_here[self.apart], customers
+        self.count()
+        self.all_else, self.tables1_else = np.nan_to_num(all1 - self.all1), np.nan_to_num(tables1 - self.tables1)
+        self.tables_else[self.apart], self.all[self.apart] = tables - self.tables[self.apart], customers
+        self.count()
         # tables of shared dishes stay, so their rows are seated given all others
         self.many |= self.shared
         self.free &= ~self.shared
-        self.crowd = np.flatnonzero(self.many[self.dish[self.several]])
-        self.row_log_z = np.full(len(self.crowd), -np.inf)
+        self._gather()
 
     def customers_up(self) -> np.ndarray:
         return self.c_else + self.single + np.bincount(self.dish[self.several], weights=self.t[self.several], minlength=len(self.up))
@@ -290,11 +296,28 @@ class Seating:
     def tables_of(self) -> np.ndarray:
         return self.tables_else + self.single_of + np.bincount(self.of[self.several], weights=self.t[self.several], minlength=self.n_of)
 
-    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tables of each restaurant, customers of each dish above, of each restaurant above, its tables)."""
-        c1 = self.customers_up()
-        all1, tables1 = (np.bincount(self.up, weights=x, minlength=self.n_up) for x in (c1, self.t1))
-        return self.tables_of(), c1, all1 + self.all_else, tables1 + self.tables1_else
+    def count(self) -> None:
+        """Sums that every change of the seating keeps up: tables of each restaurant, customers of each dish above, of each restaurant above, its tables."""
+        self.tables, self.c1 = self.tables_of(), self.customers_up()
+        self.all1, self.tables1 = (np.bincount(self.up, weights=x, minlength=self.n_up) for x in (self.c1, self.t1))
+        self.all1 += self.all_else
+        self.tables1 += self.tables1_else
+
+    def _set_rows(self, row: np.ndarray, t: np.ndarray) -> None:
+        """Changes the tables of different rows."""
+        more = t - self.t[row]
+        changed = np.flatnonzero(more)
+        row, more = row[changed], more[changed]
+        self.t[row] += more
+        dish = self.dish[row]
+        np.add.at(self.tables, self.of[row], more)
+        np.add.at(self.c1, dish, more)
+        np.add.at(self.all1, self.up[dish], more)
+
+    def _set_dishes(self, dish: np.ndarray, t1: np.ndarray) -> None:
+        """Changes the tables of different dishes above."""
+        np.add.at(self.tables1, self.up[dish], t1 - self.t1[dish])
+        self.t1[dish] = t1
 
     def local_root(self, base: float) -> Root:
         """A root that only knows these restaurants."""
@@ -307,32 +330,29 @@ class Seating:
         for lo, hi in ((0, part),) if part <= 0.5 else ((0, part / 2), (part / 2, part)):
             now = (side >= lo) & (side < hi)
             self._reseat(rng, np.flatnonzero(now & self.free), low, high, p0)
-            crowd = now[self.dish[self.several[self.crowd]]]
+            crowd = now[self.crowd_dish]
             if crowd.any():
                 self._reseat_rows(rng, np.flatnonzero(crowd & half), low, high, p0)
                 self._reseat_rows(rng, np.flatnonzero(crowd & ~half), low, high, p0)
                 who = np.flatnonzero(now & self.many & ~self.shared)
-                _, c1, _, tables1 = self.totals()
-                self.t1[who] = seat(rng, c1[who], high.theta, high.discount, tables1[self.up[who]] - self.t1[who], p0[who])[0]
+                self._set_dishes(who, seat(rng, self.c1[who], high.theta, high.discount, self.tables1[self.up[who]] - self.t1[who], p0[who])[0])
 
     def _reseat_rows(self, rng: np.random.Generator, at: np.ndarray, low: Level, high: Level, p0: np.ndarray) -> None:
         """Some rows of dishes with many, given all others; the parents' tables follow."""
         row = self.several[self.crowd[at]]
-        tables, c1, all1, tables1 = self.totals()
-        dish = self.dish[row]
-        rest, up = c1[dish] - self.t[row], self.up[dish]
-        p1 = (rest - high.discount * np.minimum(self.t1[dish], rest) + (high.theta + high.discount * tables1[up]) * p0[dish]) / (high.theta + all1[up] - self.t[row])
-        t, z = seat(rng, self.c[row], low.theta, low.discount, tables[self.of[row]] - self.t[row], p1)
-        take = np.log(rng.random(len(row)) + 1e-300) < z - self.row_log_z[at]
-        self.t[row[take]] = t[take]
+        dish, own = self.crowd_dish[at], self.t[row]
+        rest, up = self.c1[dish] - own, self.up[dish]
+        p1 = (rest - high.discount * np.minimum(self.t1[dish], rest) + (high.theta + high.discount * self.tables1[up]) * p0[dish]) / (high.theta + self.all1[up] - own)
+        t, z = seat(rng, self.c[row], low.theta, low.discount, self.tables[self.of[row]] - own, p1)
+        take = np.flatnonzero(np.log(rng.random(len(row)) + 1e-300) < z - self.row_log_z[at])
+        self._set_rows(row[take], t[take])
         self.row_log_z[at[take]] = z[take]
-        dish = dish[~self.shared[dish]]
-        self.t1[dish] = np.minimum(self.t1[dish], self.customers_up()[dish])
+        over = np.unique(dish[(self.t1[dish] > self.c1[dish]) & ~self.shared[dish]])
+        self._set_dishes(over, self.c1[over])
 
     def _reseat(self, rng: np.random.Generator, who: np.ndarray, low: Level, high: Level, p0: np.ndarray) -> None:
-        tables, c1, all1, tables1 = self.totals()
         up = self.up[who]
-        others1, beside1, p0 = tables1[up] - self.t1[who], all1[up] - c1[who], p0[who]
+        others1, beside1, p0 = self.tables1[up] - self.t1[who], self.all1[up] - self.c1[who], p0[who]
         d1, d2 = high.discount, low.discount
         # rows with one customer: each sends one up
         c1 = self.single[who]
@@ -346,7 +366,7 @@ class Seating:
             row = self.several[at[live]]
             x1, new1 = c1[live] - d1 * t1[live], (high.theta + d1 * (others1[live] + t1[live])) * p0[live]
             p1 = (x1 + new1) / (high.theta + beside1[live] + c1[live])
-            a = (low.theta + d2 * (tables[self.of[row]] - self.t[row] + t[live])) * p1
+            a = (low.theta + d2 * (self.tables[self.of[row]] - self.t[row] + t[live])) * p1
             begun = n[live] > 0
             left = self.c[row] - n[live]
             x = n[live] - d2 * t[live]
@@ -365,35 +385,35 @@ class Seating:
             at[full] += 1
             n[full], t[full] = 0, 0
             live = live[at[live] < end[live]]
-        take = np.log(rng.random(len(who)) + 1e-300) < z - self.log_z[who]
-        self.log_z[who[take]] = z[take]
-        self.t1[who[take]] = t1[take]
-        took = np.zeros(len(self.up), bool)
-        took[who[take]] = True
-        some = took[self.dish[self.several]]
-        self.t[self.several[some]] = seated[some]
+        take = np.flatnonzero(np.log(rng.random(len(who)) + 1e-300) < z - self.log_z[who])
+        took = who[take]
+        self.log_z[took] = z[take]
+        self._set_dishes(took, t1[take])
+        size = self.first[took + 1] - self.first[took]
+        at = np.repeat(self.first[took] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self._set_rows(self.several[at], seated[at])
+
+    def weights(self, low: Level, high: Level, p0: np.ndarray) -> np.ndarray:
+        """The predictive probability of each row times its restaurant's customers and concentration, given the root's probability of each dish."""
+        p1 = (self.c1 - high.discount * self.t1 + (high.theta + high.discount * self.tables1)[self.up] * p0) / (high.theta + self.all1)[self.up]
+        return self.c - low.discount * self.t + (low.theta + low.discount * self.tables)[self.of] * p1[self.dish]
 
     def predict(self, low: Level, high: Level, p0: np.ndarray) -> np.ndarray:
         """The predictive probability of each row, given the root's of each dish."""
-        tables, c1, all1, tables1 = self.totals()
-        p1 = (c1 - high.discount * self.t1 + (high.theta + high.discount * tables1[self.up]) * p0) / (high.theta + all1[self.up])
-        return (self.c - low.discount * self.t + (low.theta + low.discount * tables[self.of]) * p1[self.dish]) / (low.theta + self.all[self.of])
+        return self.weights(low, high, p0) / (low.theta + self.all)[self.of]
 
     def ones_and_twos(self, whole: bool = False) -> np.ndarray:
         """Rows, and dishes above, with one and two customers; of ``whole`` dishes only, if asked."""
-        c1 = self.customers_up()
-        if whole:
-            c1 = c1[~self.shared]
+        c1 = self.c1[~self.shared] if whole else self.c1
         return np.array([(self.c == 1).sum(), (self.c == 2).sum(), (c1 == 1).sum(), (c1 == 2).sum()], float)
 
     def auxiliary(self, k: int, low: Level, high: Level) -> np.ndarray:
         """Sums of the auxiliary variables of both concentrations over whole restaurants: successes, and minus the logarithms."""
         rng = np.random.Generator(np.random.PCG64([self.seed, k, 7]))
-        tables, _, all1, tables1 = self.totals()
         divided = np.zeros(self.n_up, bool)
         divided[self.up[self.shared]] = True
         out = []
-        for level, c, t, there in ((low, self.all, tables, ~self.apart), (high, all1, tables1, ~divided)):
+        for level, c, t, there in ((low, self.all, self.tables, ~self.apart), (high, self.all1, self.tables1, ~divided)):
             some = (c > 1) & there
             c, t = c[some], t[some].astype(np.int64)
             i = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
@@ -641,11 +661,10 @@ class Share:
         for to, i in self._order(self.words, parts):
             yield to, ("ask", share, len(i), _pack(self.words[i] // _U(parts), t[i]))
         dish = np.flatnonzero(x.shared)
-        word, before, c1 = self.words[x.word[dish]], self.before[x.up[dish]], x.customers_up()[dish].astype(np.uint32)
+        word, before, c1 = self.words[x.word[dish]], self.before[x.up[dish]], x.c1[dish].astype(np.uint32)
         for to, i in self._order(word, parts):
             yield to, ("dish", share, len(i), _pack(before[i], word[i] // _U(parts), c1[i]))
-        tables = x.tables_of()[x.apart]
-        yield _sum("pairs", self.pairs, x.all[x.apart], tables)
+        yield _sum("pairs", self.pairs, x.all[x.apart], x.tables[x.apart])
 
     @staticmethod
     def _order(words: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -871,8 +890,9 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, share: int = SHARE, chunk: int
             for k in range(BURN[0], BURN[0] + BURN[1] + sweeps):
                 x.sweep(k, low, high, without, 1.0 if k < BURN[0] + BURN[1] else PART)
                 if k >= BURN[0] + BURN[1]:
-                    p += x.predict(low, high, full)
-            far = np.rint(-np.log10(np.maximum(p / sweeps, 1e-300)) / GRAIN).astype(np.uint32)
+                    p += x.weights(low, high, full)
+            p /= (sweeps * (low.theta + x.all))[x.of]
+            far = np.rint(-np.log10(np.maximum(p, 1e-300)) / GRAIN).astype(np.uint32)
             at = 0
             for chunk_id, size in s.chunks:
                 yield chunk_id, ("answer", key, size, _pack(far[s.back[at : at + size]]))

@@ -476,6 +476,35 @@ def test_pitman_yor_probabilities_sum_to_one():
         assert abs(p[:4].sum() - 1) < 1e-12 and abs(p[4:].sum() - 1) < 1e-12
 
 
+def test_pitman_yor_sweeps_keep_their_sums_without_counting_all_rows(monkeypatch):
+    rng = np.random.default_rng(9)
+    # 12 restaurants over 3 parents, 30 words; the last parent's dishes and restaurants have pieces elsewhere
+    of, word = np.divmod(np.sort(rng.choice(12 * 30, 250, replace=False)), 30)
+    dish, at = np.unique(of // 4 * 30 + word, return_inverse=True)
+    s = pitman_yor.Seating(of, at, dish // 30, dish % 30, rng.integers(0, 90, 250) // rng.integers(1, 30, 250), 7)
+    s.shared, s.apart = s.up == 2, np.arange(12) >= 10
+    c1 = s.customers_up()[s.shared] + 3
+    s.join(c1, np.minimum(c1, 2.5), np.array([np.nan, np.nan, 500.0]), np.array([np.nan, np.nan, 200.0]), s.all[10:] + 40, s.tables_of()[10:] + 9)
+    assert abs(s.all1[2] - 500) < 1e-9 and abs(s.tables1[2] - 200) < 1e-9
+    assert s.many.any() and s.free.any()
+    low, high, p0 = pitman_yor.Level(0.5, 0.8), pitman_yor.Level(0.3, 1.1), np.full(len(dish), 1 / 31)
+
+    def whole(self):
+        raise AssertionError("all rows are counted for a part of the words")
+
+    t1 = s.t1[s.shared].copy()
+    with monkeypatch.context() as m:
+        for name in ("customers_up", "tables_of"):
+            m.setattr(pitman_yor.Seating, name, whole)
+        for k in range(60):
+            s.sweep(k, low, high, p0, 0.12 if k else 1.0)
+    kept = s.tables, s.c1, s.all1, s.tables1
+    s.count()
+    for a, b in zip(kept, (s.tables, s.c1, s.all1, s.tables1), strict=True):
+        assert np.allclose(a, b, rtol=0, atol=1e-9)
+    assert (s.t1[s.shared] == t1).all() and (s.t1[~s.shared] <= s.c1[~s.shared]).all() and (s.t <= s.c).all()
+
+
 def test_pitman_yor_waits_as_long_as_customers_one_by_one():
     rng = np.random.default_rng(6)
     a, x, most = 0.8, 2.3, 6
