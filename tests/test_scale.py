@@ -15,3 +15,8 @@ def plan(df) -> str:
 def test_exists_nested_meets_by_equality(spark):
     found = plan(entry.queries()["exists_nested"](spark, SF))
     assert not any(x in found for x in LOOPS)
+
+
+def test_not_exists_nested_meets_by_equality(spark):
+    found = plan(entry.queries()["not_exists_nested"](spark, SF))
+    assert not any(x in found for x in LOOPS)
