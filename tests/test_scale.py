@@ -20,3 +20,10 @@ def test_exists_nested_meets_by_equality(spark):
 def test_not_exists_nested_meets_by_equality(spark):
     found = plan(entry.queries()["not_exists_nested"](spark, SF))
     assert not any(x in found for x in LOOPS)
+
+
+def test_path_opt_starts_at_what_is_joined(spark):
+    found = plan(entry.queries()["path_opt"](spark, SF))
+    assert not any(x in found for x in LOOPS)
+    # zero steps are made for customers alone
+    assert "lineitem" not in found
