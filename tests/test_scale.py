@@ -27,3 +27,7 @@ def test_path_opt_starts_at_what_is_joined(spark):
     assert not any(x in found for x in LOOPS)
     # zero steps are made for customers alone
     assert "lineitem" not in found
+
+
+def test_path_plus_has_no_cross_product(spark):
+    assert not any(x in plan(entry.queries()["path_plus"](spark, SF)) for x in LOOPS)
