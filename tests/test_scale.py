@@ -31,3 +31,7 @@ def test_path_opt_starts_at_what_is_joined(spark):
 
 def test_path_plus_has_no_cross_product(spark):
     assert not any(x in plan(entry.queries()["path_plus"](spark, SF)) for x in LOOPS)
+
+
+def test_path_range_has_no_cross_product(spark):
+    assert not any(x in plan(entry.queries()["path_range"](spark, SF)) for x in LOOPS)
