@@ -35,3 +35,8 @@ def test_path_plus_has_no_cross_product(spark):
 
 def test_path_range_has_no_cross_product(spark):
     assert not any(x in plan(entry.queries()["path_range"](spark, SF)) for x in LOOPS)
+
+
+def test_path_neg_reads_the_table_of_its_start(spark):
+    found = plan(entry.queries()["path_neg"](spark, SF))
+    assert "nation" in found and "lineitem" not in found
