@@ -60,3 +60,17 @@ def test_new_triples_are_compared_with_their_own_predicates(spark, tmp_path):
     every = spark.read.schema("s string, o string, p string").parquet(str(tmp_path / "q")).select("s", "p", "o")
     delta, counts = R.missing(spark.createDataFrame([("Ix", "Iq", "Iy"), ("Ix", "Iq", "Iy"), ("Ix", "Ip", "Iy")], every.schema), every)
     assert counts == {"Iq": 1} and delta.count() == 1
+
+
+def test_description_reads_what_may_touch_its_nodes(spark):
+    from quadloom.plans.tables import BASE, dataset
+
+    source = dataset(spark, SF).source
+    nodes = lambda *x: spark.createDataFrame([(n,) for n in x], "n string")
+    found = plan(source.touching(nodes(f"I{BASE}region/1")))
+    assert "r_name" in found and "l_quantity" not in found and "c_name" not in found
+    some = nodes(f"I{BASE}customer/3", f"I{BASE}Region", "Lx:string\x1f\x1fBUILDING", f"I{BASE}orders/7", "Bnone")
+    quads = source.all_quads().where("g IS NULL").select("s", "p", "o")
+    want = quads.join(some.withColumnRenamed("n", "s"), "s", "left_semi").union(quads.join(some.withColumnRenamed("n", "o"), "o", "left_semi").select("s", "p", "o")).distinct()
+    got = source.touching(some).distinct()
+    assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty()
