@@ -74,3 +74,15 @@ def test_description_reads_what_may_touch_its_nodes(spark):
     want = quads.join(some.withColumnRenamed("n", "s"), "s", "left_semi").union(quads.join(some.withColumnRenamed("n", "o"), "o", "left_semi").select("s", "p", "o")).distinct()
     got = source.touching(some).distinct()
     assert got.count() == want.count() > 20 and got.exceptAll(want).isEmpty()
+
+
+def test_shape_rules_leave_the_stored_quads_where_they_are(spark):
+    from quadloom.operators import shapes as S
+    from quadloom.plans.catalogue import _turtle
+
+    d = _turtle(spark, ":a a :C ; :size 3 . :b a :C .").stored()
+    shapes = _turtle(spark, ':S a sh:NodeShape ; sh:targetClass :C ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate :seen ; sh:object "x" ] .')
+    out = S.rules(d, shapes)
+    assert out.count() == 5 and out.where("p LIKE '%seen'").count() == 2
+    # a constant predicate still prunes files, and a quad that is read is one of a set
+    assert "PartitionFilters: [isnotnull(p" in plan(out.where("p = 'Inone'"))
