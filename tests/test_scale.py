@@ -86,3 +86,11 @@ def test_shape_rules_leave_the_stored_quads_where_they_are(spark):
     assert out.count() == 5 and out.where("p LIKE '%seen'").count() == 2
     # a constant predicate still prunes files, and a quad that is read is one of a set
     assert "PartitionFilters: [isnotnull(p" in plan(out.where("p = 'Inone'"))
+
+
+def test_typed_nodes_are_not_given_again(spark):
+    from quadloom.operators import rules as R
+
+    t = spark.createDataFrame([("Ix", f"I{R.RDF}type", f"I{R.RDFS}Resource")], "s string, p string, o string")
+    four = next(r for r in R.RDFS_RULES if r.name == "rdfs4a")
+    assert not [x for df in R._apply(four, t, t, True, R.count(t), R.count(t)) for x in df.collect()]
