@@ -94,3 +94,13 @@ def test_typed_nodes_are_not_given_again(spark):
     t = spark.createDataFrame([("Ix", f"I{R.RDF}type", f"I{R.RDFS}Resource")], "s string, p string, o string")
     four = next(r for r in R.RDFS_RULES if r.name == "rdfs4a")
     assert not [x for df in R._apply(four, t, t, True, R.count(t), R.count(t)) for x in df.collect()]
+
+
+def test_layers_write_only_what_is_new(spark):
+    from quadloom.operators import rules as R
+
+    t = spark.createDataFrame([("Ix", "Ip", "Iy"), ("Ix", "Ip", "Iy"), ("Iz", "Ip", "Iy"), ("Iz", "Ir", "Iy")], "s string, p string, o string")
+    base, deltas = [t], []
+    for layer in R.strata([R.rule("idle", "?c <p> ?n . not ?c <buys> ?n -> ?n <idle> ?c"), R.rule("buys", "?c <r> ?n -> ?c <buys> ?n")]):
+        R._closure(base, deltas, layer, False, R.count(t))
+    assert [[tuple(x) for x in d.collect()] for d in deltas] == [[("Iz", "Ibuys", "Iy")], [("Iy", "Iidle", "Ix")]]
